@@ -21,10 +21,50 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import exact_dedup
+
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH n AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import mixing
+
+    return mixing.totals(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import simhash
+
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_bpe": op2_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": OP4_SQL,
+}
 
 
