@@ -27,6 +27,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm import exact_dedup
 
@@ -43,6 +49,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import substring_dedup
+
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return _with_fold(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.THRESHOLD)
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import media
+
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm import mixing
 
@@ -55,16 +80,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm import token_output
+
+    return token_output.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality": op6_quality,
+    "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
 }
-
-
