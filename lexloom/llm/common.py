@@ -31,7 +31,35 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage so that lost executors cost only their tasks."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexloom_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what materialize() wrote for this very DataFrame, once nothing reads it any more."""
+    path = getattr(df, "_lexloom_path", None) if df is not None else None
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of ``df``."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """docs written to the shared folder with a row number, and that column's name: rows stay the same rows in every later scan."""
+    (rid,) = fresh(docs, "rid")
+    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()), what), rid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,7 +165,8 @@ def components(links: DataFrame, native: bool = False) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        links = materialize(small.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b").distinct(), "stars")
+        last, links = links, materialize(small.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b").distinct(), "stars")
+        discard(last)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or (now["n"], now["h"]) == before:
             break

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, materialize, slices
+from lexloom.llm.common import as_bytes, fresh, materialize, slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Bytes of texts that a scan task keeps to refer to; texts in a bucket; bits of a histogram.
@@ -192,7 +192,7 @@ def groups(index: Index) -> DataFrame:
     placed = index.log.drop("body").join(chained, "ref", "left").withColumn("slot", F.coalesce("slot", F.lit(0)))
     order = F.struct("n_cp", (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("d"), (-F.col("rid")).alias("r"))
     best = placed.groupBy("key", "slot").agg(F.max_by(F.struct("rid", "doc_id"), order).alias("k"), F.count("*").alias("group_size"))
-    return placed.join(best, ["key", "slot"]).select("rid", "doc_id", F.col("k.rid").alias("keep_rid"), F.col("k.doc_id").alias("keep_id"), "group_size", "sha")
+    return placed.join(best, ["key", "slot"]).select("rid", "doc_id", F.col("k.rid").alias("keep_rid"), F.col("k.doc_id").alias("keep_id"), "group_size", "sha", "n_cp")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -207,11 +207,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     equal in all three one stays.
     """
     found = groups(build_index(docs))
-    keep = found.where("rid = keep_rid").select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"))
-    text = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")
-    marked = docs.withColumn("_sha", F.sha2(text.cast("binary"), 256)).withColumn("_n", F.length(F.coalesce("text", F.lit(""))))
-    joined = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns) if _repeated(docs) else joined.select(*docs.columns)
+    sha, n, d_, s_, n_ = fresh(docs, "_sha", "_n", "_keep_id", "_keep_sha", "_keep_n")
+    keep = found.where("rid = keep_rid").select(F.col("doc_id").alias(d_), F.col("sha").alias(s_), F.col("n_cp").alias(n_))
+    text = F.coalesce(docs["text"], F.lit(""))
+    marked = docs.withColumn(sha, F.sha2(F.translate(text, " \t\n\x0b\x0c\r", "").cast("binary"), 256)).withColumn(n, F.length(text))
+    joined = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(d_)) & (F.col(sha) == F.col(s_)) & (F.col(n) == F.col(n_)), "left_semi")
+    return joined.dropDuplicates(["doc_id", sha, n]).select(*docs.columns) if _repeated(docs) else joined.select(*docs.columns)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -233,17 +233,17 @@ def parse(raw: bytes) -> Stream:
     """Walk the stream; where no header stands, go on to the next sync bytes that two frames in a row confirm."""
     out, at, locked = Stream(), 0, False
     end = len(raw)
-    if raw[-128:-125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("v1", raw[-125:-95].rstrip(b"\0 ").decode("latin-1"))
     while at + 4 <= end:
+        if at == len(raw) - 128 and raw[at : at + 3] == b"TAG":  # an ID3v1 tag, which stands where a frame would
+            out.tags["v1"] = raw[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+            return out
         if raw[at : at + 3] == b"ID3" and at + 10 <= end:
             at, locked = _read_tag(raw, at, out), False
             continue
         h = header(raw[at : at + 4])
         if h and at + h.length <= end:
             after = at + h.length
-            confirmed = locked or after == end or (after + 4 <= end and header(raw[after : after + 4]) is not None)
+            confirmed = locked or after == end or raw[after : after + 3] == b"TAG" or (after + 4 <= end and header(raw[after : after + 4]) is not None)
             if confirmed:
                 if not out.offsets and not out.vbr and h.layer == 3 and _read_vbr(raw, at, h, out):
                     pass
@@ -255,6 +255,8 @@ def parse(raw: bytes) -> Stream:
                 continue
         step = raw.find(b"\xff", at + 1, end)
         step = end if step < 0 else step
+        if at < len(raw) - 128 < step and raw[-128:-125] == b"TAG":
+            step = len(raw) - 128
         out.skipped += step - at
         at, locked = step, False
     out.skipped += max(0, end - at)

@@ -24,21 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, materialize, slices
+from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one source that a task balances together, and the seed of the random directions.
 BLOCK, SEED = 4096, 11
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words between ASCII white space); one row per row of docs."""
+def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, the columns to keep, size (words between ASCII white space); one row per row of docs."""
+    names = ["doc_id", "source", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x.split()) for x in as_bytes(batch.column(2))], pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x.split()) for x in as_bytes(batch.column(len(names)))], pa.int64())], [*names, "size"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, docs.select("doc_id", "source").schema.add("size", "long"))
+    return docs.select(*names, "text").mapInArrow(run, docs.select(*names).schema.add("size", "long"))
 
 
 def targets(source_sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -140,7 +141,11 @@ def choose(sized: DataFrame, rates: dict[str | None, float], block: int = BLOCK)
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> tuple[DataFrame, dict, dict]:
     """(rid, doc_id, source, size, copies) for each row of docs, with the sizes and the targets by source."""
-    sized = materialize(sizes(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "source", "size")), "sizes")
+    return _mix(sizes(docs).withColumn("rid", F.monotonically_increasing_id()), weights, most, block)
+
+
+def _mix(sized: DataFrame, weights: tuple[float, ...], most: float, block: int) -> tuple[DataFrame, dict, dict]:
+    sized = materialize(sized.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "source", "size")), "sizes")
     by_source = {r["source"]: int(r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(by_source, weights, most)
     rates = {s: min(most, goal[s] / n) if n else 0.0 for s, n in by_source.items()}
@@ -157,9 +162,8 @@ def totals(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
 
 def repeat(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """docs with each row as often as the mix takes it, rows that it leaves out gone."""
-    kept = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), "source", F.coalesce("text", F.lit(""))))
-    mixed, _, _ = mix(docs, weights, most, block)
-    # repeated ids: the copies of all rows of one id and source are dealt to these rows in the order of their texts
-    taken = mixed.groupBy("doc_id", "source").agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"), F.min("size").alias("_least"))
-    joined = kept.join(taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_n", "_rows"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    return joined.where("_n > 0").withColumn("_c", F.when(F.col("_rows") == 1, F.col("_n")).otherwise(F.ceil(F.col("_n") / F.col("_rows")))).withColumn("_x", F.explode(F.array_repeat(F.lit(0), F.col("_c").cast("int")))).select(*docs.columns)
+    keyed, rid = numbered(docs, "docs")
+    taken, times = fresh(keyed, "_taken", "_times")
+    mixed, _, _ = _mix(sizes(keyed.select("doc_id", "source", "text", F.col(rid).alias("rid")), "rid"), weights, most, block)
+    joined = keyed.join(mixed.where("copies > 0").select(mixed["rid"].alias(taken), mixed["copies"].alias(times)), F.col(rid) == F.col(taken))
+    return joined.select(*[joined[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int"))).alias(taken)).select(*docs.columns)

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_text, labelled_sample, slices
+from lexloom.llm.common import as_text, fresh, labelled_sample, slices
 
 #: Bound on the labelled texts of each class that are broadcast.
 PER_CLASS = 2000
@@ -138,9 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
 
 
 def score(docs: DataFrame, model: Quality, keep_text: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, score; with ``keep_text`` all columns of docs and _score."""
+    """docs (doc_id, text, ...) -> doc_id, score; with ``keep_text`` all columns of docs and a last one, the score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.axes, model.vectors, model.labels))
     at = docs.columns.index("text") if keep_text else 1
+    (last,) = fresh(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tokens = Quality(*shared.value), _tokens()
@@ -148,12 +150,12 @@ def score(docs: DataFrame, model: Quality, keep_text: bool = False) -> DataFrame
             scores = np.concatenate([own.scores(tokens.counts(texts)) for i in range(0, batch.num_rows, BLOCK) if (texts := as_text(batch.column(at).slice(i, BLOCK)))] or [np.empty(0)])
             scores = pa.array(np.clip(scores, 0, 1), pa.float64())
             if keep_text:
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, last])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
 
     if keep_text:
-        return docs.mapInArrow(run, docs.select("*").schema.add("_score", "double"))
+        return docs.mapInArrow(run, docs.select("*").schema.add(last, "double"))
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double"))
 
 
@@ -168,4 +170,5 @@ def _tokens() -> Tokens:
 
 def accept(docs: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score below ``threshold``."""
-    return score(docs, model, keep_text=True).where(f"_score >= {threshold}").drop("_score")
+    scored = score(docs, model, keep_text=True)
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

@@ -15,7 +15,8 @@ of the other bits (one must be equal, as three differ at most), and where that i
 No pairs are emitted from a bucket: a task walks it breadth first and gives a spanning forest of its links.
 
 Null texts are empty; empty texts have fingerprint 0 and link like others. Repeated rows and copies share one
-fingerprint. An empty table gives an empty result.
+fingerprint. A document without an id links like others, but gives no component its number. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, components, materialize, slices
+from lexloom.llm.common import as_bytes, components, fresh, materialize, numbered, slices
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 #: Fingerprints of one key that a task takes at once.
@@ -68,15 +69,16 @@ def majority(h: np.ndarray) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * counts > len(h)).tolist())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs -> doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs -> doc_id, the columns to keep, fp (the 64 bits as a signed long)."""
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(x) for x in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in as_bytes(batch.column(len(names)))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*names, "text").mapInArrow(run, docs.select(*names).schema.add("fp", "long"))
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -186,12 +188,12 @@ def _probes(parts: list[tuple[list[int], int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, did = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             step = max(1, 200_000 // len(codes))
             for at in range(0, len(fp), step):
-                f, d = fp[at : at + step], did[at : at + step]
+                f = fp[at : at + step]
                 keys = (f[:, None] & codes[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(which, len(f)), pa.int64()), pa.array(keys, pa.int64()), pa.array(np.repeat(f, len(codes)), pa.int64()), pa.array(np.repeat(d, len(codes)), pa.int64())], ["part", "key", "fp", "did"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(which, len(f)), pa.int64()), pa.array(keys, pa.int64()), pa.array(np.repeat(f, len(codes)), pa.int64())], ["part", "key", "fp"])
 
     return run
 
@@ -217,30 +219,31 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, key): small buckets all at once by shifted comparison, larger ones by walk()."""
     carry: list[np.ndarray] | None = None
 
-    def solve(part, key, fp, did):
+    def solve(part, key, fp):
         new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
         edge = np.r_[0, new, len(part)]
         size = np.diff(edge)
         a, b = [], []
         for s, e in zip(edge[:-1][size > 24].tolist(), edge[1:][size > 24].tolist(), strict=True):
             pairs = walk(fp[s:e])
-            a += [did[s + x] for x, _ in pairs]
-            b += [did[s + y] for _, y in pairs]
+            a += [fp[s + x] for x, _ in pairs]
+            b += [fp[s + y] for _, y in pairs]
         group = np.repeat(np.arange(len(size)), size)
         small = np.repeat(size <= 24, size)
-        group, fp, did = group[small], fp[small].view(np.uint64), did[small]
+        group, fp = group[small], fp[small]
+        bits = fp.view(np.uint64)
         for k in range(1, 24):
             if k >= len(fp):
                 break
-            hit = (group[k:] == group[:-k]) & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= DISTANCE)
+            hit = (group[k:] == group[:-k]) & (np.bitwise_count(bits[k:] ^ bits[:-k]) <= DISTANCE)
             if not (group[k:] == group[:-k]).any():
                 break
-            a += did[:-k][hit].tolist()
-            b += did[k:][hit].tolist()
+            a += fp[:-k][hit].tolist()
+            b += fp[k:][hit].tolist()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+        now = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
         if carry is not None:
             now = [np.concatenate(x) for x in zip(carry, now, strict=True)]
         part, key = now[0], now[1]
@@ -261,9 +264,8 @@ def _meet(rows: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, parts: list[tuple[list[int], int]], bucket: int = BUCKET) -> DataFrame:
-    """fps (fp distinct, did) -> verified links (a, b) between dids that connect all that the distance connects."""
-    schema = "part long, key long, fp long, did long"
-    rows = fps.select("fp", "did").mapInArrow(_probes(parts), schema)
+    """fps (fp distinct) -> verified links (a, b) of fingerprints that connect all that the distance connects."""
+    rows = fps.select("fp").mapInArrow(_probes(parts), "part long, key long, fp long")
     found = None
     for level in range(3):
         hot = materialize(rows.groupBy("part", "key").count().where(F.col("count") > bucket).select("part", "key", "count"), "hot")
@@ -276,27 +278,34 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], bucket: int = BUCK
         if level == 0:
             rest = F.array(*[F.struct(F.xxhash64("part", "key", F.lit(j)).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(list(range(16 * j, 16 * j + 16))))).alias("key")) for j in range(4)])
             # of four parts of all the bits, one at least is equal; the parts cover the bits that the key holds too
-            rows = materialize(crowd.withColumn("x", F.explode(rest)).select("x.part", "x.key", "fp", "did"), "crowd")
+            rows = materialize(crowd.withColumn("x", F.explode(rest)).select("x.part", "x.key", "fp"), "crowd")
         else:
             blocks = F.ceil(2 * F.col("count") / bucket).cast("int")
             mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
             pair = F.explode(F.sequence(F.lit(0), blocks - 1))
-            rows = crowd.select("part", "key", "fp", "did", mine.alias("m"), pair.alias("o")).select(F.xxhash64("part", "key", F.least("m", "o")).alias("part"), F.xxhash64("part", "key", F.greatest("m", "o"), F.lit(1)).alias("key"), "fp", "did")
+            rows = crowd.select("part", "key", "fp", mine.alias("m"), pair.alias("o")).select(F.xxhash64("part", "key", F.least("m", "o")).alias("part"), F.xxhash64("part", "key", F.greatest("m", "o"), F.lit(1)).alias("key"), "fp")
             return found.unionByName(_meet(rows))
     return found
 
 
-def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach, a document's own included)."""
-    all_rows = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(all_rows.groupBy("fp").agg(F.min("doc_id").alias("did")), "distinct")
-    numbered = distinct.where("did is not null")
-    parts = plan(numbered)
+def components_of(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """rows (fp, ...) -> fp, root: the smallest fingerprint of the component of each distinct one."""
+    distinct = materialize(rows.select("fp").distinct(), "distinct")
+    parts = plan(distinct)
     if not parts:
-        return all_rows.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
-    roots = components(links(numbered, parts, bucket))
-    known = distinct.join(roots, distinct["did"] == roots["node"], "left").select("fp", F.coalesce("root", "did").alias("component_id"))
-    return all_rows.join(known, "fp").select("doc_id", "fp", "component_id")
+        return distinct.select("fp", F.col("fp").alias("root"))
+    roots = components(links(distinct, parts, bucket))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that links reach, a document's own included; null where none has one)."""
+    rows = materialize(fingerprints(docs), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("d"))
+    roots = materialize(components_of(rows, bucket).join(least, "fp"), "roots")
+    names = roots.groupBy("root").agg(F.min("d").alias("component_id"))
+    named = materialize(roots.join(names, "root").select("fp", "component_id"), "names")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -304,8 +313,11 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one that gave it its number. Of rows that repeat its id one stays."""
-    kept = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_d"], "left_semi").unionByName(docs.where("doc_id is null"))
-    return out.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else out
+def dedup(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id (null last), then the first row."""
+    keyed, rid = numbered(docs, "docs")
+    rows = materialize(fingerprints(keyed.select("doc_id", "text", F.col(rid).alias("rid")), "rid"), "fingerprints")
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "rid")).alias("f"))
+    kept = components_of(rows, bucket).join(first, "fp").groupBy("root").agg(F.min("f").alias("f"))
+    (mine,) = fresh(keyed, "_kept")
+    return keyed.join(kept.select(F.col("f.rid").alias(mine)), F.col(rid) == F.col(mine), "left_semi").select(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, materialize, slices
+from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
 
 CHUNK, LONGEST, WIDTH, MIN_WORDS = 32, 512, 2, 20
 _GEAR = np.random.default_rng(1234).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -108,12 +108,13 @@ def _merge(width: int, least: int):
     return run
 
 
-def spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def spans(docs: DataFrame, least: int = MIN_WORDS, rid: str | None = None) -> DataFrame:
     """rid, doc_id, start, end (bytes), n_words, first_docs: the spans that earlier places of the corpus have.
 
-    first_docs are the documents in which the span's units occur first; a document may be its own.
+    first_docs are the documents in which the span's units occur first; a document may be its own. ``rid`` names a
+    column that numbers the rows; without it they are numbered as they are read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = materialize(rows.mapInArrow(_cut_all, "rid long, doc_id long, edges array<int>, words array<int>, digests array<long>"), "chunks")
     places = cut.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "rid", F.posexplode("digests").alias("at", "digest"))
     firsts = places.groupBy("digest").agg(F.min(F.struct("doc", "rid", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
@@ -130,10 +131,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with the spans cut out of their texts (whole characters only); other columns stay."""
-    keyed = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "keyed")
-    found = spans(keyed, least).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    # the scan of the written rows numbers them anew, so they are found by that number
-    numbered = keyed.withColumn("_n", F.monotonically_increasing_id())
+    keyed, rid = numbered(docs, "docs")
+    row, cut_out = fresh(keyed, "_row", "_spans")
+    found = spans(keyed, least, rid).groupBy(F.col("rid").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut_out))
     at = keyed.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,5 +151,5 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, keyed.columns)
 
-    joined = numbered.join(found, numbered["_n"] == found["rid"], "left").select(*keyed.columns, "_spans")
-    return joined.mapInArrow(run, keyed.schema).drop("_rid")
+    joined = keyed.join(found, F.col(rid) == F.col(row), "left").select(*keyed.columns, cut_out)
+    return joined.mapInArrow(run, keyed.schema).select(*docs.columns)
