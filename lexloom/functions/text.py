@@ -34,7 +34,7 @@ def clean_corpus(text: Column | str) -> Column:
 
 
 def clean_abstract(text: Column | str) -> Column:
-    out = F.replace(F.trim(col(text)), F.lit("\n"), F.lit(" "))
+    out = F.replace(F.btrim(col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("\n"), F.lit(" "))
     for old, new in (("$", ""), ("--", ", "), ("-", " - ")):
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -42,7 +42,7 @@ def clean_abstract(text: Column | str) -> Column:
 
 def clean_wiki(text: Column | str) -> Column:
     """Headings between == marks go (greedily), then white space at the start and repeats of it."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), "==.*==", ""), r"^\s+", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"==[^\n]*==", ""), r"^\s+", ""), r"\s+", " ")
 
 
 def mentions_null(line: Column | str) -> Column:
