@@ -171,26 +171,6 @@ def pair_contexts(toks: DataFrame, keywords: DataFrame, window: int = 8) -> Data
     return rows.select("sent_id", "p.x", "p.y", T.pad(F.concat(F.array(F.lit("<X>")), F.col("p.between"), F.array(F.lit("<Y>"))), window).alias("ctx"))
 
 
-def phrase_matches(sents: DataFrame, phrases: DataFrame) -> DataFrame:
-    """sent_id, pos, phrase: every dictionary phrase at every place, nested and overlapping ones too.
-
-    phrases (phrase, of words between single spaces). Word n-grams of the lengths that the dictionary has are joined
-    with it, so one pass serves any number of phrases.
-    """
-    lengths = [r[0] for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().orderBy("n").collect()]  # a row a length
-    w = F.col("w")
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase"))) for n in lengths])) if lengths else None
-    cut = sents.select("sent_id", T.word_tokens("sentence").alias("w"))
-    if grams is None:
-        return cut.select("sent_id", F.lit(0).alias("pos"), F.lit("").alias("phrase")).where("false")
-    parts = []
-    for n in lengths:
-        at = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase")))
-        parts.append(F.when(F.size(w) >= n, at).otherwise(F.array().cast("array<struct<pos:int,phrase:string>>")))
-    rows = cut.select("sent_id", F.explode(F.flatten(F.array(*parts))).alias("g")).select("sent_id", "g.pos", "g.phrase")
-    return rows.join(phrases.select("phrase").distinct(), "phrase").select("sent_id", "pos", "phrase")
-
-
 def hubs(edges: DataFrame, sets: DataFrame, least: int = 2) -> DataFrame:
     """sent_id, kw, related: keywords that graph edges tie to two or more others of their sentence."""
     tied = pairs(sets).join(edges.select("u", "v"), ["u", "v"])
@@ -213,6 +193,15 @@ def sampling_table(counts: DataFrame, power: float = 0.75) -> DataFrame:
     return raised.crossJoin(F.broadcast(total)).select("token", "cn", (F.col("w") / F.col("z")).alias("p"))  # one row
 
 
+def running_share(df: DataFrame, order: str, weight: str) -> DataFrame:
+    """df with ``upto``: the sum of ``weight`` up to each row in the order of a column, in parts added up range by range."""
+    parted = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    sums = parted.groupBy("part").agg(F.sum(weight).alias("s"))
+    start = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))  # a row a partition
+    inside = F.sum(weight).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.join(F.broadcast(start), "part").select(*df.columns, (inside + F.col("before")).alias("upto"))
+
+
 def keep_probability(cn: Column, total: Column, sample: float = 1e-3) -> Column:
     """How likely a frequent word survives subsampling; over 1 means always."""
     t = F.lit(sample) * total

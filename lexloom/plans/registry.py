@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import text_queries  # noqa: F401  (each module registers its queries)
+from lexloom.plans import corpus_queries, text_queries, vector_queries  # noqa: F401  (each module registers its queries)
 from lexloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
