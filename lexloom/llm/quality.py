@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent semantic space.
 
 A text becomes a tf-idf vector over hashed features of its tokens: the letters, the punctuation around them, and the
-shape of the case. A truncated singular value decomposition of the labelled sample gives the latent axes. The
+shape of the case; a token that only repeats the one before it counts as such instead. A truncated singular value decomposition of the labelled sample gives the latent axes. The
 labelled vectors, unit length, are broadcast (at most 2 * PER_CLASS rows of RANK numbers). Every document is projected
 and compared with all of them by exact blocked matrix products; the K nearest vote with their similarity, and each
 class's votes are weighted by its share of the sample, so that the score doesn't lean to the larger class.
@@ -28,6 +28,8 @@ RANK, K, SHARPNESS, PRIOR, SEED = 48, 15, 8.0, 0.5, 5
 #: Hashed features: letters of tokens, then punctuation and case, which words can't collide with.
 WORDS, MARKS = 3072, 1024
 FEATURES = WORDS + MARKS
+#: Features of a token that is the same as the one before.
+REPEAT = (FEATURES - 3, FEATURES - 2, FEATURES - 1)
 THRESHOLD, BLOCK, KEPT_TOKENS = 0.5, 64, 400_000
 
 _TOKEN = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
@@ -63,7 +65,10 @@ class Tokens:
                 part = tokens[at : at + 20_000]
                 if len(self._known) + len(part) > KEPT_TOKENS:
                     self._known.clear()
-                row += np.bincount(self._table[[self._number(t) for t in part]].ravel(), minlength=FEATURES).astype(np.float32)
+                numbers = np.array([self._number(t) for t in part], np.int64)
+                found = self._table[numbers]
+                found[1:][numbers[1:] == numbers[:-1]] = REPEAT
+                row += np.bincount(found.ravel(), minlength=FEATURES).astype(np.float32)
         return out
 
     def _number(self, token: str) -> int:
