@@ -10,7 +10,7 @@ with the most code points stays, then the one with the smallest doc_id (null las
 3. Owner tasks get ranges of buckets, sorted by key, and stream through them: rows with one key are compared byte
    for byte, and a text that differs from those before it is chained behind them. The buckets are written to the
    shared folder. A task holds one chain at a time.
-4. Groups are counted by (key, place in the chain) with partial aggregation, and joined back to the log.
+4. Groups are counted by (key, place in the chain), first within scan tasks, and joined back to the log.
 
 A row that is repeated whole is a copy like any other: one of the rows stays. Empty tables give empty results.
 """
@@ -187,12 +187,17 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, key_of=None) -> Index
 
 
 def groups(index: Index) -> DataFrame:
-    """rid, doc_id, keep_rid, keep_id, group_size, sha: one row per row of docs."""
-    chained = index.buckets.where("slot > 0").select("ref", "slot")
-    placed = index.log.drop("body").join(chained, "ref", "left").withColumn("slot", F.coalesce("slot", F.lit(0)))
-    order = F.struct("n_cp", (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("d"), (-F.col("rid")).alias("r"))
-    best = placed.groupBy("key", "slot").agg(F.max_by(F.struct("rid", "doc_id"), order).alias("k"), F.count("*").alias("group_size"))
-    return placed.join(best, ["key", "slot"]).select("rid", "doc_id", F.col("k.rid").alias("keep_rid"), F.col("k.doc_id").alias("keep_id"), "group_size", "sha", "n_cp")
+    """rid, doc_id, keep_rid, keep_id, group_size, sha, n_cp: one row per row of docs.
+
+    Rows meet the text that their scan task met first, and only those texts meet their group, so that a group's rows
+    never gather in one task.
+    """
+    order = F.struct("n_cp", (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("d"), (-F.col("rid")).alias("r"), "rid", "doc_id")
+    firsts = index.log.groupBy("ref").agg(F.max(order).alias("b"), F.count("*").alias("n"))
+    firsts = materialize(firsts.join(index.buckets.select("ref", "key", "slot"), "ref"), "firsts")
+    best = firsts.groupBy("key", "slot").agg(F.max("b").alias("k"), F.sum("n").alias("group_size"))
+    named = firsts.select("ref", "key", "slot").join(best, ["key", "slot"]).select("ref", F.col("k.rid").alias("keep_rid"), F.col("k.doc_id").alias("keep_id"), "group_size")
+    return index.log.join(named, "ref").select("rid", "doc_id", "keep_rid", "keep_id", "group_size", "sha", "n_cp")
 
 
 def report(docs: DataFrame) -> DataFrame:
