@@ -1,7 +1,7 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-Documents are encoded once and their ids written to the shared folder; range partitions by doc_id then become shards.
-A shard is two files: ``ids-NNNNN.bin`` (a header, then the raw little-endian ids of its documents in ascending
+Range partitions of the documents by doc_id become shards: a task encodes the texts of one partition in order and
+writes their ids. A shard is two files: ``ids-NNNNN.bin`` (a header, then the raw little-endian ids of its documents in ascending
 order of doc_id, 16 bits each where the vocabulary fits, else 32) and ``idx-NNNNN.bin``, a minimal perfect hash: a
 displacement for each bucket of keys sends every key of the shard to a slot of its own, and the slot holds the key's
 fingerprint, its offset and its number of ids. A key costs two hashes and one slot, however many there are; another
@@ -11,9 +11,9 @@ Files are written under a task's own name and renamed, and hold the same bytes w
 lost executor's shards are just written again.
 
 Null texts are empty: they hold the end id alone. Documents with the same doc_id (or none; null comes first) stand
-one behind the other, in order of their ids' bytes, and share one entry whose length covers them all; reading gives
-each its own row, as every document ends with the end id and a key table keeps their number. An empty table gives no
-shard.
+one behind the other, in order of a hash of their texts, and those of them that one shard holds share an entry whose
+length covers them all; reading gives each its own row, as every document ends with the end id and a key table keeps
+their number. However many share an id, they may lie in several shards. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -36,9 +38,10 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import as_text, materialize, shared_dir, slices
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
-#: Ids in a shard, about; keys that share a displacement, about; the key of a null doc_id.
-SHARD_IDS, LOAD, NULL_KEY = 8_000_000, 4, -(1 << 63)
-KEPT_CHUNKS, KEPT_CHARS = 600_000, 48
+#: Bytes of text in a shard, about; keys that share a displacement, about; the key of a null doc_id.
+SHARD_BYTES, LOAD, NULL_KEY = 32_000_000, 4, -(1 << 63)
+#: Chunks that a worker keeps, if no longer than so many characters; characters that arrays are made of at once.
+KEPT_CHUNKS, KEPT_CHARS, SEGMENT = 800_000, 48, 1_000_000
 MAGIC = b"LXID"
 
 
@@ -46,38 +49,99 @@ class Encoder:
     """The tokenizers library, asked once for each frequent chunk of text.
 
     A space before anything but white space opens a piece of its own under this tokenizer's split, so a text's ids
-    are those of the chunks that begin there, one behind the other.
+    are those of the chunks that begin there, one behind the other. Chunks are told apart and their ids put together
+    in arrays; those that aren't known yet are cut by the split's pattern, and the library's model gets their pieces
+    in its byte alphabet. Texts in which a space stands elsewhere go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         from tokenizers import Tokenizer
 
         self._own = Tokenizer.from_file(path)
         self._own.encode_special_tokens = True  # their strings in a text are ordinary text
         self._odd = regex.compile(r" (?=\s|$)").search
+        self._find = regex.compile(pattern).findall
+        self._model = self._own.model  # each access copies it
+        self._byte = {b: c for b, c in enumerate(_byte_alphabet())}
+        #: Ids of chunks without their space.
         self._chunks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._byte))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk and the space before it."""
+        if chunk.isalpha():  # letters are one piece
+            return self._piece(" " + chunk)
+        first, *rest = self._find(" " + chunk)
+        known = self._chunks.get(first[1:]) if first[0] == " " else None
+        return b"".join([known or self._piece(first), *map(self._piece, rest)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._chunks) > KEPT_CHUNKS:
-            self._chunks.clear()
-        cut, missing = [], {}
-        for text in texts:
+        out: list[list[bytes]] = [[] for _ in texts]
+        owner, parts, held = [], [], 0
+        for k, text in enumerate(texts):
             if self._odd(text):
-                cut.append(None)
+                out[k] = self._ids([text])
                 continue
-            head, *rest = text.split(" ")
-            chunks = [head, *[" " + x for x in rest]]
-            cut.append(chunks)
-            missing.update(dict.fromkeys(x for x in chunks if x not in self._chunks))
-        asked = list(missing)
-        new = dict(zip(asked, self._ids(asked), strict=True)) if asked else {}
-        self._chunks.update({k: v for k, v in new.items() if len(k) <= KEPT_CHARS})
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
+            for part in _segments(text):
+                owner.append(k)
+                parts.append(part)
+                held += len(part)
+                if held > SEGMENT:
+                    self._flush(owner, parts, out)
+                    owner, parts, held = [], [], 0
+        self._flush(owner, parts, out)
+        return [b"".join(x) for x in out]
+
+    def _flush(self, owner: list[int], parts: list[str], out: list[list[bytes]]) -> None:
+        if not parts:
+            return
+        lists = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        place, flat = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        which, chunks = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [chunks[which[p]] for p in place[:-1]]
         table = self._chunks
-        return [next(whole) if c is None else b"".join([table[x] if x in table else new[x] for x in c]) for c in cut]
+        if len(table) > KEPT_CHUNKS:
+            table.clear()
+        asked = [x for x in chunks if x not in table]
+        for x in asked:
+            table[x] = self._chunk(x)
+        # a head has no space before it, so each is an entry of its own behind the chunks
+        which[place[:-1]] = len(chunks) + np.arange(len(heads))
+        known = [*map(table.__getitem__, chunks), *self._ids(heads)]
+        for x in asked:
+            if len(x) > KEPT_CHARS:
+                del table[x]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, n = np.cumsum(size) - size, size[which]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(start[which] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        edge = np.r_[0, end][place]
+        for k, a, b in zip(owner, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            out[k].append(ids[a:b].tobytes())
+
+
+def _byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else one of those from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+def _segments(text: str) -> Iterator[str]:
+    """Parts of at most about SEGMENT characters; each but the first begins with the space that opens a chunk."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = text.find(" ", at + SEGMENT)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
 
 
 @lru_cache(maxsize=2)
@@ -85,32 +149,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """docs (doc_id, text, ...) -> key, doc_id, n, ids (16 bits each where all fit, else 32)."""
-    stop = np.array([end], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        own = encoder(path)
-        for batch in slices(batches):
-            ids = [np.frombuffer(x + stop, "<u4") for x in own.encode(as_text(batch.column(1)))]
-            key = pa.array([NULL_KEY if x is None else x for x in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([key, pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], ["key", "n", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, n long, ids binary")
-
-
-def pack(ids: np.ndarray) -> bytes:
-    """One byte for the width, then the ids."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype("<u4")
-
-
 def mix(keys: np.ndarray, seed) -> np.ndarray:
     """A 64-bit mixing of signed keys with a seed (or one a key)."""
     with np.errstate(over="ignore"):
@@ -164,7 +202,7 @@ def finger(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 0xF1) >> np.uint64(32)).astype(np.uint32)
 
 
-def shard_bytes(keys: list[int], counts: list[int], ids: np.ndarray, wide: bool) -> tuple[bytes, bytes]:
+def files_of(keys: list[int], counts: list[int], ids: np.ndarray, wide: bool) -> tuple[bytes, bytes]:
     """The two files of a shard. Keys ascend and may repeat; counts are ids of each document."""
     k, c = np.array(keys, np.int64), np.array(counts, np.int64)
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -228,34 +266,38 @@ def _get(folder: str, name: str) -> bytes:
         return f.read()
 
 
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode docs and write shards below ``folder``; the manifest: shard, first, last, documents, ids, start."""
     path = path or public_tokenizers.path(TOKENIZER)
-    encoded = materialize(encode(docs, path, end), "ids")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // shard_ids))
-    ordered = encoded.repartitionByRange(int(parts), "key").sortWithinPartitions("key", "ids")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // shard_bytes))
+    ordered = rows.repartitionByRange(int(parts), "key", "tie").sortWithinPartitions("key", "tie", "text")
+    stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        own, shard = encoder(path), TaskContext.get().partitionId()
         keys, counts, ids = [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             keys += batch.column(0).to_pylist()
-            counts += batch.column(1).to_pylist()
-            for x in batch.column(2).to_pylist():
-                u = unpack(x)
-                ids.append(u.astype("<u2") if x[0] == 2 else u)
+            for packed in own.encode(as_text(batch.column(1))):
+                u = np.frombuffer(packed + stop, "<u4")
+                counts.append(len(u))
+                ids.append(u if u.max() >> 16 else u.astype("<u2"))
         if not keys:
             return
         wide = any(x.dtype.itemsize == 4 for x in ids)
         flat = np.concatenate(ids)
         del ids
-        data, index = shard_bytes(keys, counts, flat, wide)
+        data, index = files_of(keys, counts, flat, wide)
         _put(folder, f"ids-{shard:05d}.bin", data)
         _put(folder, f"idx-{shard:05d}.bin", index)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, keys[0], keys[-1], len(keys), len(flat))], ["shard", "first", "last", "documents", "ids"])
 
-    manifest = materialize(ordered.mapInArrow(run, "shard long, first long, last long, documents long, ids long"), "manifest")
+    manifest = materialize(ordered.select("key", "text").mapInArrow(run, "shard long, first long, last long, documents long, ids long"), "manifest")
     rows, start = [], 0
     for r in manifest.orderBy("shard").collect():  # a row a shard
         rows.append((*r, start))

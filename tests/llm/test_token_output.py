@@ -39,7 +39,7 @@ def test_perfect_hash(n):
 def test_shard_lookup():
     keys, counts = [out.NULL_KEY, -5, 3, 3, 9], [1, 2, 1, 3, 2]
     ids = np.array([2, 70000, 2, 2, 5, 6, 2, 8, 2], "<u4")
-    s = out.Shard(*out.shard_bytes(keys, counts, ids, True))
+    s = out.Shard(*out.files_of(keys, counts, ids, True))
     assert s.get(None).tolist() == [2] and s.get(-5).tolist() == [70000, 2] and s.get(3).tolist() == [2, 5, 6, 2] and s.get(9).tolist() == [8, 2]
     assert all(s.get(k) is None for k in (4, 0, 10**12, -6))
     with pytest.raises(ValueError):
@@ -66,7 +66,7 @@ def test_report(odd, clashing, library):
 def test_many_shards(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark, "test")
-    manifest = out.write_shards(docs, folder, shard_ids=9000)
+    manifest = out.write_shards(docs, folder, shard_bytes=40_000)
     assert manifest.count() > 3
     got = sorted((tuple(r) for r in out.read_shards(manifest, folder).collect()), key=lambda r: r[1])
     assert got == brute(docs.collect(), library)
