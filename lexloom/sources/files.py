@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fields of a paper record; all are read as text, nested ones as their JSON.
 PAPER = ("id", "submitter", "authors", "title", "comments", "journal-ref", "doi", "report-no", "categories", "license", "abstract", "versions", "update_date", "authors_parsed")
@@ -97,8 +96,9 @@ def text_vectors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("p")[0].alias("token"), F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("double")).alias("vec"))
 
 
-def binary_vectors(spark: SparkSession, path: str, normalize: bool = False) -> DataFrame:
-    """Files of a header line "V D", then for each token its name, a space and D little-endian 32-bit numbers."""
+def unpack_vectors(files: DataFrame, normalize: bool = False) -> DataFrame:
+    """files (content): a header line "V D", then for each token its name, a space and D little-endian 32-bit
+    numbers -> token, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,13 +110,15 @@ def binary_vectors(spark: SparkSession, path: str, normalize: bool = False) -> D
                     space = raw.index(b" ", at)
                     tokens.append(raw[at:space].lstrip(b"\n").decode("utf-8", "replace"))
                     v = np.frombuffer(raw, "<f4", width, space + 1)
-                    if normalize:
-                        v = v / (np.linalg.norm(v) or 1)
-                    rows.append(v.astype(np.float32))
+                    rows.append((v / (np.linalg.norm(v) or 1) if normalize else v).astype(np.float32))
                     at = space + 1 + 4 * width
                 yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(rows, pa.list_(pa.float32()))], ["token", "vec"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "token string, vec array<float>")
+    return files.select("content").mapInArrow(run, "token string, vec array<float>")
+
+
+def binary_vectors(spark: SparkSession, path: str, normalize: bool = False) -> DataFrame:
+    return unpack_vectors(spark.read.format("binaryFile").load(path), normalize)
 
 
 def conll(text: Column | str) -> Column:
@@ -143,7 +145,8 @@ def counted_vocab(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
 def listed_vocab(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """A token a line -> id, token; ids are places in the file less those skipped. One file, read by one task, as
     vocabularies are small."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("id", "token"))
+    text = spark.read.format("binaryFile").load(path).select(F.rtrim(F.col("content").cast("string")).alias("value"))
+    rows = text.select(F.posexplode(F.split(F.regexp_replace("value", "\n+$", ""), "\n")).alias("id", "token"))
     return rows.where(F.col("id") >= skip).select((F.col("id") - skip).cast("long").alias("id"), "token")
 
 
@@ -208,7 +211,7 @@ def write_json_lists(df: DataFrame, path: str, key: str, item: str) -> None:
 
 def write_pair_csv(edges: DataFrame, path: str) -> None:
     """u__v, c, npmi to two decimals; the full precision stays in parquet."""
-    edges.select(F.concat("u", F.lit("__"), "v").alias("pair"), "c", F.format_number(F.round("npmi", 2), "0.00").alias("npmi")).write.mode("overwrite").csv(path)
+    edges.select(F.concat("u", F.lit("__"), "v").alias("pair"), "c", F.format_string("%.2f", F.round("npmi", 2)).alias("npmi")).write.mode("overwrite").csv(path)
 
 
 def write_blocks(df: DataFrame, path: str, block_rows: int = NPY_BLOCK) -> None:
@@ -255,8 +258,7 @@ def response(df: DataFrame, status: int = 1) -> DataFrame:
 def save_model(spark: SparkSession, path: str, config: dict, arrays: dict[str, np.ndarray]) -> None:
     """A model's settings and weights as a row each; a later save replaces it."""
     rows = [("config", json.dumps(config), None, None)] + [(k, str(v.dtype), list(v.shape), v.tobytes()) for k, v in arrays.items()]
-    schema = T.StructType().add("name", "string").add("kind", "string").add("shape", "array<int>").add("data", "binary")
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(rows, "name string, kind string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[dict, dict[str, np.ndarray]]:
