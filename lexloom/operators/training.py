@@ -45,6 +45,16 @@ def initial(n_words: int, n_contexts: int, width: int, seed: int) -> tuple[np.nd
     return ((rng.random((n_words, width)) - 0.5) / width).astype(np.float32), np.zeros((n_contexts, width), np.float32)
 
 
+def _move(rows: np.ndarray, ids: np.ndarray, gradients: np.ndarray, rate: float) -> None:
+    """Add a batch's gradients; what one row gets is divided by the root of how often it gets some, and no step is
+    longer than 1, so that frequent rows don't overshoot."""
+    own, place, n = np.unique(ids, return_inverse=True, return_counts=True)
+    total = np.zeros((len(own), rows.shape[1]))
+    np.add.at(total, place, gradients)
+    total *= rate / np.sqrt(n)[:, None]
+    rows[own] += total / np.maximum(1, np.linalg.norm(total, axis=1, keepdims=True))
+
+
 def sgns_batch(w: np.ndarray, c: np.ndarray, wi: np.ndarray, ci: np.ndarray, weight: np.ndarray, upto: np.ndarray, negatives: int, rate: float, rng: np.random.Generator) -> float:
     """One mini-batch in place: positives, and negatives drawn from running probabilities; a negative that is the
     positive itself doesn't count. Gives the summed loss."""
@@ -55,9 +65,8 @@ def sgns_batch(w: np.ndarray, c: np.ndarray, wi: np.ndarray, ci: np.ndarray, wei
     sn = _sigmoid(np.einsum("bd,bnd->bn", x, neg))
     gn = -sn * live
     dx = gp[:, None] * pos + np.einsum("bn,bnd->bd", gn, neg)
-    np.add.at(c, ci, rate * gp[:, None] * x)
-    np.add.at(c, drawn.ravel(), rate * (gn[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1]))
-    np.add.at(w, wi, rate * dx)
+    _move(c, np.r_[ci, drawn.ravel()], np.concatenate([gp[:, None] * x, (gn[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1])]), rate)
+    _move(w, wi, dx, rate)
     return float(-(weight * np.log(_sigmoid((x * pos).sum(1)) + 1e-9)).sum() - (live * np.log(1 - sn + 1e-9)).sum())
 
 

@@ -137,7 +137,7 @@ def test_bridges(spark):
 
 
 def test_analogies_by_hand(spark):
-    vecs = spark.createDataFrame([(1, [1.0, 1, 0]), (2, [1.0, 0, 0]), (3, [0.0, 1, 0]), (4, [0.0, 1, 1]), (5, [0.0, 0, 1])], "id long, vec array<double>")
+    vecs = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 1.0]), (5, [0.0, 0.0, 1.0])], "id long, vec array<double>")
     asked = spark.createDataFrame([(0, 2, 1, 3)], "qid long, n1 long, p1 long, p2 long")
     for multiply, want in ((True, [1.28033, 0.5]), (False, [1.207107, 0.0])):
         rows = V.analogies(vecs, asked, 2, multiply).orderBy("rank").collect()
