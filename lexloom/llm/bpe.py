@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from lexloom.llm.common import as_text, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces whose ids a worker keeps; longer pieces are encoded anew each time.
-KEPT_PIECES, KEPT_BYTES = 600_000, 48
+#: Pieces and chunks whose ids a worker keeps, bytes of the longest, and pairs of tokens whose test it keeps.
+KEPT_PIECES, KEPT_BYTES, KEPT_PAIRS = 250_000, 48, 200_000
 
 
 class Vocabulary:
@@ -40,7 +40,8 @@ class Vocabulary:
         #: No token ends with any longer string than these, so that a search for last tokens ends with them.
         self.tails = {b[i:] for b in self.rank for i in range(len(b))}
         self._split: dict[int, tuple[int, int] | None] = {}
-        self._stands: dict[tuple[int, int], bool] = {}
+        #: By a << 32 | b.
+        self._stands: dict[int, bool] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte.
@@ -65,9 +66,9 @@ class Vocabulary:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b together gives a, b: no merge across the border comes first."""
-        key = (a, b)
+        key = a << 32 | b
         if (known := self._stands.get(key)) is None:
-            if len(self._stands) > 1_000_000:
+            if len(self._stands) > KEPT_PAIRS:
                 self._stands.clear()
             known = self._stands[key] = self._check(a, b)
         return known
@@ -119,8 +120,9 @@ class PrefixEncoder:
                 if token is not None:
                     if not start:
                         break
-                    pair = (last[start - 1], token)
-                    if known[pair] if pair in known else stands(*pair):
+                    before = last[start - 1]
+                    pair = before << 32 | token
+                    if known[pair] if pair in known else stands(before, token):
                         break
                 elif tail not in tails:
                     raise ValueError(f"no token ends the prefix of {end} bytes: the vocabulary lacks a byte")

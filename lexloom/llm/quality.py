@@ -30,7 +30,7 @@ WORDS, MARKS = 3072, 1024
 FEATURES = WORDS + MARKS
 #: Features of a token that is the same as the one before.
 REPEAT = (FEATURES - 3, FEATURES - 2, FEATURES - 1)
-THRESHOLD, BLOCK, KEPT_TOKENS = 0.5, 64, 400_000
+THRESHOLD, BLOCK, KEPT_TOKENS = 0.5, 64, 200_000
 
 _TOKEN = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Quality, keep_text: bool = False) -> DataFrame
     (last,) = fresh(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tokens = Quality(*shared.value), _tokens()
+        own, tokens = Quality(*shared.value), Tokens()
         for batch in slices(batches):
             scores = np.concatenate([own.scores(tokens.counts(texts)) for i in range(0, batch.num_rows, BLOCK) if (texts := as_text(batch.column(at).slice(i, BLOCK)))] or [np.empty(0)])
             scores = pa.array(np.clip(scores, 0, 1), pa.float64())
@@ -164,15 +164,6 @@ def score(docs: DataFrame, model: Quality, keep_text: bool = False) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double"))
 
 
-_worker: list[Tokens] = []
-
-
-def _tokens() -> Tokens:
-    if not _worker:
-        _worker.append(Tokens())
-    return _worker[0]
-
-
 def accept(docs: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score below ``threshold``."""
     scored = score(docs, model, keep_text=True)
