@@ -92,22 +92,9 @@ def join4_phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.matches(sents, _phrases(sents))
 
 
-def reform_sql(given: str) -> str:
-    """The walk as recursion, from one place to the next that it leaves unread; ``given`` has words (sent_id, w) and phrases."""
-    return f"""WITH RECURSIVE {given},
-pre AS (SELECT array_to_string(list_slice(p, 1, n), ' ') AS prefix, n, bool_or(n = len(p)) AS whole FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT string_split(phrase, ' ') AS p FROM phrases)) GROUP BY 1, 2),
-gram AS (SELECT sent_id, w, pos, unnest(range(1, least((SELECT max(n) FROM pre), len(w) - pos) + 1)) AS n FROM (SELECT sent_id, w, unnest(range(0, len(w))) AS pos FROM words)),
-met AS (SELECT sent_id, pos, max(pre.n) AS reach, coalesce(max(CASE WHEN whole THEN pre.n END), 0) AS match FROM gram JOIN pre ON prefix = array_to_string(list_slice(w, pos + 1, pos + gram.n), ' ') GROUP BY 1, 2),
-step AS (SELECT sent_id, pos, greatest(coalesce(reach, 1), 1) AS reach, coalesce(match, 0) AS match FROM (SELECT sent_id, unnest(range(0, len(w))) AS pos FROM words) LEFT JOIN met USING (sent_id, pos)),
-walk AS (SELECT sent_id, 0::BIGINT AS pos FROM words WHERE len(w) > 0 UNION ALL SELECT walk.sent_id, walk.pos + reach FROM walk JOIN step ON walk.sent_id = step.sent_id AND walk.pos = step.pos WHERE walk.pos + reach < (SELECT max(len(w)) FROM words))
-SELECT sent_id, array_to_string(list(piece ORDER BY pos), ' ') AS reformed FROM (
-  SELECT sent_id, pos, array_to_string(list_concat(CASE WHEN match > 0 THEN [array_to_string(list_slice(w, pos + 1, pos + match), '_')] ELSE [] END, list_slice(w, pos + match + 1, pos + reach)), ' ') AS piece
-  FROM walk JOIN step USING (sent_id, pos) JOIN words USING (sent_id)) GROUP BY sent_id"""
-
-
-@query(reform_sql(_phrase_sql()))
+@query()
 def join5_reform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent phrases of the corpus as entities."""
+    """Frequent phrases of the corpus as entities. The walk in SQL takes minutes; tests compare it with a loop."""
     sents = C.sentences(spread(documents(spark, sf_dir)))
     return P.reform(sents, _phrases(sents))
 

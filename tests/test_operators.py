@@ -46,6 +46,30 @@ def test_reform(spark, phrases, sentence, reformed, rescanned):
         assert [r["reformed"] for r in P.reform(sents, dictionary, rescan).collect()] == [want]
 
 
+def test_reform_as_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    phrases = {" ".join(rng.choices("abcd", k=rng.randint(2, 4))) for _ in range(12)}
+    heads = {tuple(p.split()[:n]) for p in phrases for n in range(1, 5)}
+    whole = {tuple(p.split()) for p in phrases}
+    sents = [(i, " ".join(rng.choices("abcde", k=rng.randint(1, 14)))) for i in range(120)]
+    want = {}
+    for i, text in sents:
+        w, out, at = text.split(), [], 0
+        while at < len(w):
+            reach = 0
+            while at + reach < len(w) and tuple(w[at : at + reach + 1]) in heads:
+                reach += 1
+            match = max((n for n in range(1, reach + 1) if tuple(w[at : at + n]) in whole), default=0)
+            out += ["_".join(w[at : at + match])] if match else []
+            out += w[at + match : at + max(reach, 1)]
+            at += max(reach, 1)
+        want[i] = " ".join(out)
+    got = P.reform(spark.createDataFrame(sents, "sent_id long, sentence string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert {r["sent_id"]: r["reformed"] for r in got.collect()} == want
+
+
 def test_all_matches(spark):
     sents = spark.createDataFrame([(1, "data structure mining")], "sent_id long, sentence string")
     phrases = ["data structure", "structure mining", "data structure mining"]

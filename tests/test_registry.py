@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from lexloom.plans import registry
 
-CORE = ["related_keywords", "txt1_clean_corpus", "txt12_stable_keywords", "txt14_padding", "txt17_highlight", "txt19_suggestion_words", "txt28_rouge", "join2_vocabulary_lookup", "join4_phrase_matches", "join5_reform", "join8_bridges", "join9_shared_sentences", "join10_pair_contexts", "join11_window_pairs", "join12_skipgrams", "join13_conll_contexts", "join14_pair_contexts", "agg2_merge_counts", "agg3_vocabulary", "agg10_npmi", "agg21_hubs", "agg23_filtered_rank", "dep2_path_dataset", "oie1_scored_triples", "oie6_spans", "srh3_strict", "srh4_ranking", "agg18_overlap", "vec6_analogy_multiply", "vec13_ngram_vectors", "top3_nearest_to_sum", "clu2_silhouette", "clu6_kmeans_one_round", "clu8_descendants", "join15_known_edges", "src6_json_lists", "src7_pair_csv", "src9_text_vectors", "src14_listed_vocab", "src16_triple_file", "stream_token_counts"]
+CORE = ["related_keywords", "txt1_clean_corpus", "txt12_stable_keywords", "txt14_padding", "txt17_highlight", "txt19_suggestion_words", "txt28_rouge", "join2_vocabulary_lookup", "join4_phrase_matches", "join8_bridges", "join9_shared_sentences", "join10_pair_contexts", "join11_window_pairs", "join12_skipgrams", "join13_conll_contexts", "join14_pair_contexts", "agg2_merge_counts", "agg3_vocabulary", "agg10_npmi", "agg21_hubs", "agg23_filtered_rank", "dep2_path_dataset", "oie1_scored_triples", "oie6_spans", "srh3_strict", "srh4_ranking", "agg18_overlap", "vec6_analogy_multiply", "vec13_ngram_vectors", "top3_nearest_to_sum", "clu2_silhouette", "clu6_kmeans_one_round", "clu8_descendants", "join15_known_edges", "src6_json_lists", "src7_pair_csv", "src9_text_vectors", "src14_listed_vocab", "src16_triple_file", "stream_token_counts"]
 NAMES = [n for n in registry.ORACLES if os.environ.get("LEXLOOM_ALL") or n in CORE]
 
 
