@@ -61,7 +61,8 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
             at = np.flatnonzero(whole[:m])
             buckets.append((h[at] % np.uint32(BUCKETS)).astype(np.int32))
             owners.append(word[at])
-    return np.concatenate(buckets), np.maximum(np.concatenate(owners) - 1, 0), n_words
+    kind = np.uint16 if n_words <= 0xFFFF else np.int32
+    return np.concatenate(buckets), np.maximum(np.concatenate(owners) - 1, 0).astype(kind), n_words
 
 
 def passage_starts(n_words: int) -> np.ndarray:
