@@ -140,10 +140,10 @@ def highlight(array: Column | str, keywords: Column) -> Column:
 
 
 def search_highlight(text: Column | str, terms: Sequence[str]) -> Column:
-    """Terms in bold where they stand as words, in any case."""
+    """Terms in bold where they stand as words (of a-z, 0-9 and _), in any case."""
     import re
 
-    return F.regexp_replace(col(text), r"(?i)\b(" + "|".join(map(re.escape, terms)) + r")\b", '<b class="match">$1</b>') if terms else col(text)
+    return F.regexp_replace(col(text), r"(?i)(?<![a-z0-9_])(" + "|".join(map(re.escape, terms)) + r")(?![a-z0-9_])", '<b class="match">$1</b>') if terms else col(text)
 
 
 def relation_prefix(context: Column | str) -> Column:

@@ -87,7 +87,8 @@ def src9_text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.write_text_vectors(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("token"), F.col("embedding").alias("vec")), path)
     literal(spark, [("500 64",)], "value string").coalesce(1).write.mode("append").text(path)
     v = S.text_vectors(spark, path)
-    return v.select("token", F.round(F.element_at("vec", 1), 5).alias("first"), F.round(F.element_at("vec", -1), 5).alias("last"))
+    number = lambda i: F.round(F.element_at("vec", i).cast("float").cast("double"), 5)
+    return v.select("token", number(1).alias("first"), number(-1).alias("last"))
 
 
 @query("SELECT 'v' || vec_id AS token, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
