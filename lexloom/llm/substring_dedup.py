@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
 
-CHUNK, LONGEST, WIDTH, MIN_WORDS = 32, 512, 2, 20
+CHUNK, LONGEST, WIDTH, MIN_WORDS = 32, 512, 2, 15
 _GEAR = np.random.default_rng(1234).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -134,7 +134,8 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     keyed, rid = numbered(docs, "docs")
     row, cut_out = fresh(keyed, "_row", "_spans")
     found = spans(keyed, least, rid).groupBy(F.col("rid").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut_out))
-    at = keyed.columns.index("text")
+    names = keyed.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -147,9 +148,9 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                         last = s["end"]
                     raw = b"".join([*parts, b[last:]]).decode("utf-8", "ignore")
                 texts.append(raw)
-            columns = list(batch.columns[: len(keyed.columns)])
+            columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, keyed.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = keyed.join(found, F.col(rid) == F.col(row), "left").select(*keyed.columns, cut_out)
     return joined.mapInArrow(run, keyed.schema).select(*docs.columns)
