@@ -41,7 +41,7 @@ TOKENIZER, END = "byte_bpe_50k.json", 2
 #: Bytes of text in a shard, about; keys that share a displacement, about; the key of a null doc_id.
 SHARD_BYTES, LOAD, NULL_KEY = 32_000_000, 4, -(1 << 63)
 #: Chunks that a worker keeps, if no longer than so many characters; characters that arrays are made of at once.
-KEPT_CHUNKS, KEPT_CHARS, SEGMENT = 800_000, 48, 1_000_000
+KEPT_CHUNKS, KEPT_BARE, KEPT_CHARS, SEGMENT = 500_000, 200_000, 48, 1_000_000
 MAGIC = b"LXID"
 
 
@@ -59,12 +59,15 @@ class Encoder:
 
         self._own = Tokenizer.from_file(path)
         self._own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._odd = regex.compile(r" (?=\s|$)").search
+        self._odd = _odd
         self._find = regex.compile(pattern).findall
         self._model = self._own.model  # each access copies it
         self._byte = {b: c for b, c in enumerate(_byte_alphabet())}
-        #: Ids of chunks without their space.
+        #: Ids of chunks without their space: those met lately, and those of before, which go when the first are many.
         self._chunks: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        #: Ids of pieces without a space before them, as punctuation and the words that begin a line.
+        self._bare: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,11 +77,18 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk and the space before it."""
-        if chunk.isalpha():  # letters are one piece
-            return self._piece(" " + chunk)
+        if chunk.isalpha():  # letters are one piece; those of ASCII stand for themselves
+            return array("I", [t.id for t in self._model.tokenize(self._byte[32] + chunk)]).tobytes() if chunk.isascii() else self._piece(" " + chunk)
         first, *rest = self._find(" " + chunk)
-        known = self._chunks.get(first[1:]) if first[0] == " " else None
-        return b"".join([known or self._piece(first), *map(self._piece, rest)])
+        word, bare = first[1:], self._bare
+        out = [self._chunks.get(word) or self._before.get(word) or self._piece(first)]
+        for piece in rest:
+            if (ids := bare.get(piece)) is None:
+                if len(bare) > KEPT_BARE:
+                    bare.clear()
+                ids = bare[piece] = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
@@ -104,12 +114,12 @@ class Encoder:
         place, flat = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
         which, chunks = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = [chunks[which[p]] for p in place[:-1]]
-        table = self._chunks
-        if len(table) > KEPT_CHUNKS:
-            table.clear()
+        if len(self._chunks) > KEPT_CHUNKS:
+            self._before, self._chunks = self._chunks, {}
+        table, before = self._chunks, self._before
         asked = [x for x in chunks if x not in table]
         for x in asked:
-            table[x] = self._chunk(x)
+            table[x] = before[x] if x in before else self._chunk(x)
         # a head has no space before it, so each is an entry of its own behind the chunks
         which[place[:-1]] = len(chunks) + np.arange(len(heads))
         known = [*map(table.__getitem__, chunks), *self._ids(heads)]
@@ -125,6 +135,14 @@ class Encoder:
             out[k].append(ids[a:b].tobytes())
 
 
+def _odd(text: str) -> bool:
+    """Whether a space stands before white space or at the end."""
+    return "  " in text or text[-1:] == " " or " \n" in text or (not text.isascii() or any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")) and _SPACES(text) is not None
+
+
+_SPACES = regex.compile(r" (?=[\s\x1c-\x1f])").search
+
+
 def _byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if it is printable, else one of those from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
