@@ -22,6 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lexloom.llm.common import as_bytes, slices
 
@@ -255,6 +256,8 @@ def parse(raw: bytes) -> Stream:
                 continue
         step = raw.find(b"\xff", at + 1, end)
         step = end if step < 0 else step
+        if (tagged := raw.find(b"ID3", at + 1, step)) >= 0:
+            step = tagged
         if at < len(raw) - 128 < step and raw[-128:-125] == b"TAG":
             step = len(raw) - 128
         out.skipped += step - at
@@ -289,7 +292,7 @@ def columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     media_sha256, feature; with ``keep_media`` the stream itself, its duration and its frame offsets too."""
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
     if keep_media:
-        schema = schema.add("media", "binary").add("seconds", "double").add("frame_offsets", "array<long>")
+        schema = schema.add("media", "binary").add("seconds", "double").add("frame_offsets", T.ArrayType(T.LongType()))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.float64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
