@@ -27,7 +27,7 @@ from lexloom.llm.common import as_text, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces and chunks whose ids a worker keeps, bytes of the longest, and pairs of tokens whose test it keeps.
-KEPT_PIECES, KEPT_BYTES, KEPT_PAIRS = 250_000, 48, 200_000
+KEPT_PIECES, KEPT_BYTES, KEPT_PAIRS = 250_000, 48, 400_000
 
 
 class Vocabulary:
@@ -145,6 +145,24 @@ class PrefixEncoder:
         return out[::-1]
 
 
+class Recent:
+    """A table of at most ``most`` entries: when half of that are new, those not used since the last time go."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
     """Whole texts to packed little-endian unsigned 32-bit ids and back."""
 
@@ -152,8 +170,7 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self._find = regex.compile(pattern).findall
         self._odd = regex.compile(r" (?=\s|$)").search
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._chunks, self._pieces = Recent(KEPT_PIECES), Recent(KEPT_PIECES)
 
     def _piece(self, piece: str) -> bytes:
         if (got := self._pieces.get(piece)) is None:
@@ -161,18 +178,14 @@ class Encoder:
             one = self.vocabulary.rank.get(raw)
             got = np.array([one] if one is not None else PrefixEncoder(self.vocabulary, raw).ids(), "<u4").tobytes()
             if len(raw) <= KEPT_BYTES:
-                if len(self._pieces) >= KEPT_PIECES:
-                    self._pieces.clear()
-                self._pieces[piece] = got
+                self._pieces.put(piece, got)
         return got
 
     def _chunk(self, chunk: str) -> bytes:
         if (got := self._chunks.get(chunk)) is None:
             got = b"".join(map(self._piece, self._find(chunk)))
             if len(chunk) <= KEPT_BYTES:
-                if len(self._chunks) >= KEPT_PIECES:
-                    self._chunks.clear()
-                self._chunks[chunk] = got
+                self._chunks.put(chunk, got)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -180,7 +193,8 @@ class Encoder:
         if self._odd(text):
             return b"".join(map(self._piece, self._find(text)))
         head, *rest = text.split(" ")
-        return self._chunk(head) + b"".join([self._chunk(" " + x) for x in rest])
+        known, chunk = self._chunks.new.get, self._chunk
+        return chunk(head) + b"".join([known(" " + x) or chunk(" " + x) for x in rest])
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
