@@ -25,6 +25,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The most times that a keyword may occur in the SQL of queries over keywords.
+CEILING = 60
+
+
+def every_word(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Register a query over keywords a second time, as NAME_every_word: no word is too common for it. The SQL of the
+    first has the ceiling; the second has none to compare with, and is tested by brute force."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, None)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_every_word", f.__doc__
+    QUERIES[run.__name__] = run
+    return f
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

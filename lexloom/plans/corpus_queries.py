@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import corpus as C
 from lexloom.operators import phrases as P
-from lexloom.plans.base import GRAPH, LONG_TOKENS, OCCURRENCES, SENTENCES, TOKENS, documents, literal, query, rounded, spread, table, values
+from lexloom.plans.base import CEILING, GRAPH, LONG_TOKENS, OCCURRENCES, SENTENCES, TOKENS, documents, every_word, literal, query, rounded, spread, table, values
 
 
 def _toks(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
@@ -135,15 +135,17 @@ ctx AS (SELECT a.sent_id, a.token AS x, b.token AS y, list_concat(list_concat(['
   FROM marked a JOIN marked b ON a.sent_id = b.sent_id AND b.pos > a.pos AND b.pos - a.pos < 8 JOIN words ON words.sent_id = a.sent_id)"""
 
 
-def _ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ctx(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
+    """Of words of four letters that occur 20 times, and at most ``most`` times if that is set."""
     toks = _toks(spark, sf_dir)
-    keys = C.token_counts(toks, 20).where("cn <= 60 AND length(token) >= 4")
-    return C.pair_contexts(toks, keys)
+    keys = C.token_counts(toks, 20).where("length(token) >= 4")
+    return C.pair_contexts(toks, keys if most is None else keys.where(F.col("cn") <= most))
 
 
+@every_word
 @query(f"WITH {_CTX} SELECT sent_id, x, y, array_to_string(list_slice(list_concat(c, list_transform(range(8), lambda i: '<pad>')), 1, 8), ' ') AS ctx FROM ctx")
-def join10_pair_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ctx(spark, sf_dir).select("sent_id", "x", "y", F.array_join("ctx", " ").alias("ctx"))
+def join10_pair_contexts(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
+    return _ctx(spark, sf_dir, most).select("sent_id", "x", "y", F.array_join("ctx", " ").alias("ctx"))
 
 
 @query(f"""WITH {OCCURRENCES}, known AS (SELECT sent_id, token, row_number() OVER (PARTITION BY sent_id ORDER BY pos) AS p FROM toks SEMI JOIN dict USING (token))
@@ -253,10 +255,11 @@ def agg12_semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.least("word", "target").alias("w0"), F.greatest("word", "target").alias("w1")).agg(F.count("*").alias("freq"))
 
 
+@every_word
 @query(f"WITH {_CTX} SELECT array_to_string(c, ' ') AS ctx, count(*) AS n FROM ctx GROUP BY 1")
-def agg13_unique_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg13_unique_contexts(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     """Least frequent first."""
-    kept = _ctx(spark, sf_dir).select(F.filter("ctx", lambda t: t != "<pad>").alias("c"))
+    kept = _ctx(spark, sf_dir, most).select(F.filter("ctx", lambda t: t != "<pad>").alias("c"))
     return kept.groupBy(F.array_join("c", " ").alias("ctx")).agg(F.count("*").alias("n")).orderBy("n", "ctx")
 
 
@@ -318,10 +321,11 @@ def agg27_subword_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.vocabulary(ranked, ()).select("token", F.when(F.length("token") == 1, F.col("cn") - (1 << 50)).otherwise(F.col("cn")).alias("n"), (F.col("id") + 1).alias("id"))
 
 
+@every_word
 @query(f"WITH {_CTX} SELECT x, array_to_string(list_slice(c, 1, 3), ' ') AS span, count(*) AS n FROM ctx GROUP BY 1, 2 HAVING count(*) >= 2")
-def agg28_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg28_spans(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     """Distinct openings of contexts by keyword."""
-    kept = _ctx(spark, sf_dir).select("x", F.slice(F.filter("ctx", lambda t: t != "<pad>"), 1, 3).alias("s"))
+    kept = _ctx(spark, sf_dir, most).select("x", F.slice(F.filter("ctx", lambda t: t != "<pad>"), 1, 3).alias("s"))
     return kept.groupBy("x", F.array_join("s", " ").alias("span")).agg(F.count("*").alias("n")).where("n >= 2")
 
 

@@ -9,7 +9,7 @@ from lexloom.functions import text as T
 from lexloom.operators import corpus as C
 from lexloom.operators import dependency as D
 from lexloom.operators import triples as R
-from lexloom.plans.base import TOKENS, WS, documents, literal, query, spread, table, values
+from lexloom.plans.base import CEILING, TOKENS, WS, documents, every_word, literal, query, spread, table, values
 
 _PREP = ", ".join(f"'{p}'" for p in D.PREPOSITIONS)
 _RELS = "[" + ", ".join(f"'{r}'" for r in D.RELATIONS) + "]"
@@ -22,9 +22,10 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.stand_in(C.sentences(spread(documents(spark, sf_dir))))
 
 
-def _keywords(parse: DataFrame) -> DataFrame:
-    counts = C.token_counts(parse.select(F.col("form").alias("token")), 20)
-    return counts.where("cn <= 60 AND length(token) >= 4").select("token")
+def _keywords(parse: DataFrame, most: int | None = CEILING) -> DataFrame:
+    """Words of four letters that occur 20 times, and at most ``most`` times if that is set."""
+    counts = C.token_counts(parse.select(F.col("form").alias("token")), 20).where("length(token) >= 4")
+    return (counts if most is None else counts.where(F.col("cn") <= most)).select("token")
 
 
 _CTX = _PARSE + """, w AS (SELECT p.* FROM parse p SEMI JOIN kw ON kw.token = p.form),
@@ -34,14 +35,15 @@ ctx AS (SELECT sent_id, word, c_rel AS relation, c_form AS context FROM down WHE
   UNION ALL SELECT w.sent_id, w.form, w.rel || 'I', h.form FROM w JOIN parse h ON h.sent_id = w.sent_id AND h.tok_id = w.head)"""
 
 
-def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _contexts(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> tuple[DataFrame, DataFrame]:
     parse = _parse(spark, sf_dir)
-    return parse, D.word_contexts(parse, _keywords(parse))
+    return parse, D.word_contexts(parse, _keywords(parse, most))
 
 
+@every_word
 @query(f"WITH {_CTX} SELECT word, relation, context, count(*) AS n FROM ctx GROUP BY 1, 2, 3")
-def join13_dependency_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contexts(spark, sf_dir)[1].groupBy("word", "relation", "context").agg(F.count("*").alias("n"))
+def join13_dependency_contexts(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
+    return _contexts(spark, sf_dir, most)[1].groupBy("word", "relation", "context").agg(F.count("*").alias("n"))
 
 
 _CONLL = [(1, 1, "australian", 2, "amod"), (1, 2, "scientist", 3, "nsubj"), (1, 3, "discovers", 0, "root"), (1, 4, "star", 3, "dobj"), (1, 5, "with", 3, "adpmod"), (1, 6, "telescope", 5, "adpobj"), (2, 1, "stars", 2, "nsubj"), (2, 2, "shine", 0, "root")]
@@ -54,26 +56,28 @@ def join13_conll_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.conll_contexts(parse, parse.where("tok_id > 0").select(F.col("form").alias("token")).distinct())
 
 
+@every_word
 @query(f"WITH {_CTX} SELECT word, relation || '_' || context AS context, count(*) AS n FROM ctx WHERE relation NOT IN ('punct', 'dep', 'punctI', 'depI') GROUP BY 1, 2")
-def dep4_context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dep4_context_lines(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     """Also FLT14."""
-    return D.context_lines(_contexts(spark, sf_dir)[1]).groupBy("word", "context").agg(F.count("*").alias("n"))
+    return D.context_lines(_contexts(spark, sf_dir, most)[1]).groupBy("word", "context").agg(F.count("*").alias("n"))
 
 
 _PAIRS = ", pair AS (SELECT DISTINCT a.sent_id, a.form AS a, b.form AS b FROM w a JOIN w b ON a.sent_id = b.sent_id AND a.form < b.form)"
 
 
-def _pairs(parse: DataFrame) -> DataFrame:
-    places = D.keyword_places(parse, _keywords(parse))
+def _pairs(parse: DataFrame, most: int | None = CEILING) -> DataFrame:
+    places = D.keyword_places(parse, _keywords(parse, most))
     sets = C.sentence_sets(places.select("sent_id", F.col("form").alias("kw")).distinct())
     return C.pairs(sets).select("sent_id", F.col("u").alias("a"), F.col("v").alias("b"))
 
 
+@every_word
 @query(f"WITH {_CTX}{_PAIRS}, c AS (SELECT DISTINCT sent_id, word, relation || '_' || context AS context FROM ctx), s AS (SELECT a, b, context, true AS opens FROM pair JOIN c ON c.sent_id = pair.sent_id AND c.word = a UNION ALL SELECT a, b, context, false FROM pair JOIN c ON c.sent_id = pair.sent_id AND c.word = b) SELECT pair, context, count(*) AS n FROM (SELECT a || '__' || b AS pair, CASE WHEN opens THEN 'h_' ELSE 't_' END || context AS context FROM s UNION ALL SELECT b || '__' || a, CASE WHEN opens THEN 't_' ELSE 'h_' END || context FROM s) GROUP BY 1, 2")
-def join14_pair_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parse, contexts = _contexts(spark, sf_dir)
+def join14_pair_contexts(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
+    parse, contexts = _contexts(spark, sf_dir, most)
     mine = contexts.select("sent_id", "word", F.concat("relation", F.lit("_"), "context").alias("context"))
-    return D.pair_lines(mine, _pairs(parse)).groupBy("pair", "context").agg(F.count("*").alias("n"))
+    return D.pair_lines(mine, _pairs(parse, most)).groupBy("pair", "context").agg(F.count("*").alias("n"))
 
 
 _DEP1 = [(0, "java", 1, "nsubj"), (1, "beats", 1, "ROOT"), (2, "slow", 3, "amod"), (3, "python", 1, "dobj")]
@@ -87,6 +91,7 @@ def dep1_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(D.sentences_as_arrays(tokens), "sent_id").select("a", "b", D.path(F.col("tokens"), F.col("a"), F.col("b")).alias("path"))
 
 
+@every_word
 @query(f"""WITH RECURSIVE {_PARSE}, w AS (SELECT p.* FROM parse p SEMI JOIN kw ON kw.token = p.form){_PAIRS}, d AS (SELECT sent_id, a AS subj, b AS obj FROM pair UNION ALL SELECT sent_id, b, a FROM pair),
 f AS (SELECT sent_id, form, min(tok_id) AS tok_id FROM parse GROUP BY 1, 2),
 up AS (SELECT DISTINCT f.sent_id, f.tok_id AS start, f.tok_id AS at, 0 AS depth FROM f JOIN kw ON kw.token = f.form UNION ALL SELECT up.sent_id, start, p.head, depth + 1 FROM up JOIN parse p ON p.sent_id = up.sent_id AND p.tok_id = up.at WHERE p.head <> p.tok_id),
@@ -94,22 +99,24 @@ meet AS (SELECT d.sent_id, subj, obj, x.tok_id AS i, y.tok_id AS j, arg_min((a.d
 rise AS (SELECT meet.sent_id, subj, obj, string_agg('i_' || p.rel, ' ' ORDER BY depth) AS r FROM meet JOIN up ON up.sent_id = meet.sent_id AND up.start = i AND depth < m[1] JOIN parse p ON p.sent_id = up.sent_id AND p.tok_id = up.at GROUP BY 1, 2, 3),
 fall AS (SELECT meet.sent_id, subj, obj, string_agg(p.rel, ' ' ORDER BY depth DESC) AS r FROM meet JOIN up ON up.sent_id = meet.sent_id AND up.start = j AND depth < m[2] JOIN parse p ON p.sent_id = up.sent_id AND p.tok_id = up.at GROUP BY 1, 2, 3)
 SELECT meet.sent_id, concat_ws(' ', rise.r, fall.r) AS path, meet.subj, meet.obj FROM meet LEFT JOIN rise USING (sent_id, subj, obj) LEFT JOIN fall USING (sent_id, subj, obj)""")
-def dep2_path_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dep2_path_dataset(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     """Paths between keywords of one sentence, both ways."""
     parse = _parse(spark, sf_dir)
-    return D.paths(parse, _pairs(parse)).select("sent_id", "path", "subj", "obj")
+    return D.paths(parse, _pairs(parse, most)).select("sent_id", "path", "subj", "obj")
 
 
+@every_word
 @query(f"WITH {_PARSE} SELECT sent_id, tok_id::INTEGER AS tok_id, form FROM parse SEMI JOIN kw ON kw.token = form")
-def dep3_keyword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dep3_keyword_places(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     parse = _parse(spark, sf_dir)
-    return D.keyword_places(parse, _keywords(parse))
+    return D.keyword_places(parse, _keywords(parse, most))
 
 
+@every_word
 @query(f"WITH {_PARSE}, m AS (SELECT p.* FROM parse p SEMI JOIN kw ON kw.token = p.form) SELECT sent_id FROM m GROUP BY sent_id HAVING bool_or(rel = 'nsubj') AND bool_or(rel = 'dobj')")
-def flt17_two_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flt17_two_roles(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     parse = _parse(spark, sf_dir)
-    places = D.keyword_places(parse, _keywords(parse)).select("sent_id", F.col("form").alias("kw")).distinct()
+    places = D.keyword_places(parse, _keywords(parse, most)).select("sent_id", F.col("form").alias("kw")).distinct()
     return D.two_roles(parse, places)
 
 
@@ -243,18 +250,20 @@ def agg15_top_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "relation").limit(3)
 
 
+@every_word
 @query(f"WITH {_CTX} SELECT relation, count(*) AS n, count(DISTINCT sent_id) AS sentences FROM ctx GROUP BY 1")
-def agg16_relation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg16_relation_records(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     """Records of each relation, of two halves merged."""
-    contexts = _contexts(spark, sf_dir)[1]
+    contexts = _contexts(spark, sf_dir, most)[1]
     halves = [contexts.where(F.col("sent_id") % 2 == k) for k in (0, 1)]
     return halves[0].unionByName(halves[1]).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("sent_id").alias("sentences"))
 
 
+@every_word
 @query(f"WITH {_CTX}, r AS (SELECT DISTINCT relation, sent_id FROM ctx), n AS (SELECT relation, sent_id, row_number() OVER (PARTITION BY relation ORDER BY sent_id) AS rank FROM r) SELECT relation, rank, sent_id, sentence FROM n JOIN sents USING (sent_id) WHERE rank <= 3")
-def join18_example_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join18_example_sentences(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
     """The first three sentences of each relation."""
-    contexts = _contexts(spark, sf_dir)[1].select("relation", "sent_id").distinct()
+    contexts = _contexts(spark, sf_dir, most)[1].select("relation", "sent_id").distinct()
     ranked = contexts.withColumn("rank", F.row_number().over(Window.partitionBy("relation").orderBy("sent_id")).cast("long")).where("rank <= 3")
     return ranked.join(C.sentences(spread(documents(spark, sf_dir))), "sent_id").select("relation", "rank", "sent_id", "sentence")
 
@@ -262,9 +271,10 @@ def join18_example_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHTS = [("nsubj", 0.5), ("prep_of", 2.0)]
 
 
+@every_word
 @query(f"WITH {_CTX}, r AS (SELECT relation, count(*) AS n FROM ctx GROUP BY 1) SELECT relation, n, coalesce(weight, 0) AS weight FROM r LEFT JOIN {values(_WEIGHTS, 'relation, weight')} USING (relation)")
-def join20_relation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _contexts(spark, sf_dir)[1].groupBy("relation").agg(F.count("*").alias("n"))
+def join20_relation_weights(spark: SparkSession, sf_dir: str, most: int | None = CEILING) -> DataFrame:
+    counts = _contexts(spark, sf_dir, most)[1].groupBy("relation").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(literal(spark, _WEIGHTS, "relation string, weight double")), "relation", "left").select("relation", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
