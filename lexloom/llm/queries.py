@@ -30,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm import line_dedup
 
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), every=True)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
