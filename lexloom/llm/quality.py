@@ -1,7 +1,9 @@
 """Quality scores by nearest-neighbour voting in a latent semantic space.
 
-A text becomes a tf-idf vector over hashed features of its tokens: the letters, the punctuation around them, and the
-shape of the case; a token that only repeats the one before it counts as such instead. A truncated singular value decomposition of the labelled sample gives the latent axes. The
+A text becomes a tf-idf vector over hashed features of its tokens: the whole word, its first STEM letters, the
+punctuation around it, and the shape of the case; a token that only repeats the one before it counts as such instead.
+Of a token over LONG characters (a blob, or prose without spaces) every GRAM characters in a row count as a token, so
+that all of it is read. A truncated singular value decomposition of the labelled sample gives the latent axes. The
 labelled vectors, unit length, are broadcast (at most 2 * PER_CLASS rows of RANK numbers). Every document is projected
 and compared with all of them by exact blocked matrix products; the K nearest vote with their similarity, and each
 class's votes are weighted by its share of the sample, so that the score doesn't lean to the larger class.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,11 @@ RANK, K, SHARPNESS, PRIOR, SEED = 48, 15, 8.0, 0.5, 5
 #: Hashed features: letters of tokens, then punctuation and case, which words can't collide with.
 WORDS, MARKS = 3072, 1024
 FEATURES = WORDS + MARKS
+#: The place of a feature that a token doesn't have; it isn't counted.
+NONE = FEATURES
 #: Features of a token that is the same as the one before.
-REPEAT = (FEATURES - 3, FEATURES - 2, FEATURES - 1)
+REPEAT = (FEATURES - 3, NONE, FEATURES - 2, FEATURES - 1)
+STEM, LONG, GRAM = 5, 80, 3
 THRESHOLD, BLOCK, KEPT_TOKENS = 0.5, 64, 200_000
 
 _TOKEN = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
@@ -42,11 +48,22 @@ def _hash(text: str, salt: int) -> int:
     return h ^ (h >> 15)
 
 
-def token_features(token: str) -> tuple[int, int, int]:
-    """Letters; punctuation before and after; shape of the case with digits."""
-    before, core, after = _TOKEN.match(token[:80]).groups()
+def pieces(text: str) -> Iterator[str]:
+    """The tokens of a text, or all character n-grams of those that are long."""
+    for token in text.split():
+        if len(token) <= LONG:
+            yield token
+        else:
+            for i in range(len(token) - GRAM + 1):
+                yield token[i : i + GRAM]
+
+
+def token_features(token: str) -> tuple[int, int, int, int]:
+    """First letters; the whole word where it is longer; punctuation before and after; shape of the case with digits."""
+    before, core, after = _TOKEN.match(token).groups()
+    word = core.lower()
     shape = "0" if any(c.isdigit() for c in core) else "U" if len(core) > 1 and core.isupper() else "T" if core[:1].isupper() else "l" if core.islower() else "x"
-    return _hash(core.lower()[:5], 1) % WORDS, WORDS + _hash(before + "\0" + after, 2) % (MARKS - 8), FEATURES - 8 + "0UTlx".index(shape)
+    return _hash(word[:STEM], 1) % WORDS, _hash(word, 3) % WORDS if len(word) > STEM else NONE, WORDS + _hash(before + "\0" + after, 2) % (MARKS - 8), FEATURES - 8 + "0UTlx".index(shape)
 
 
 class Tokens:
@@ -54,21 +71,20 @@ class Tokens:
 
     def __init__(self):
         self._known: dict[str, int] = {}
-        self._table = np.zeros((KEPT_TOKENS, 3), np.int32)
+        self._table = np.zeros((KEPT_TOKENS, 4), np.int32)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """len(texts) x FEATURES."""
         out = np.zeros((len(texts), FEATURES), np.float32)
         for row, text in zip(out, texts, strict=True):
-            tokens = text.split()
-            for at in range(0, len(tokens), 20_000):
-                part = tokens[at : at + 20_000]
+            tokens = pieces(text)
+            while part := list(islice(tokens, 20_000)):
                 if len(self._known) + len(part) > KEPT_TOKENS:
                     self._known.clear()
                 numbers = np.array([self._number(t) for t in part], np.int64)
                 found = self._table[numbers]
                 found[1:][numbers[1:] == numbers[:-1]] = REPEAT
-                row += np.bincount(found.ravel(), minlength=FEATURES).astype(np.float32)
+                row += np.bincount(found.ravel(), minlength=FEATURES + 1)[:FEATURES].astype(np.float32)
         return out
 
     def _number(self, token: str) -> int:
