@@ -218,9 +218,15 @@ def txt26_graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(replace(text, chr(13), ''), '[ \t\n]+'), lambda t: t <> ''), lambda t: substr(t, 1, 9)), ' ') AS words FROM documents")
 def txt27_read_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words cut to 9 characters; txt27_read_words_99 cuts as the reference does."""
     return documents(spark, sf_dir).select("doc_id", F.array_join(T.read_words("text", 9), " ").alias("words"))
 
 
+@query(r"SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(replace(text, chr(13), ''), '[ \t\n]+'), lambda t: t <> ''), lambda t: substr(t, 1, 99)), ' ') AS words FROM documents")
+def txt27_read_words_99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.read_words("text"), " ").alias("words"))
+
+
 @query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations),
 p AS (SELECT conv_id, a.turn AS turn, CASE WHEN len(a.w) <= len(b.w) THEN a.w ELSE b.w END AS s, CASE WHEN len(a.w) <= len(b.w) THEN b.w ELSE a.w END AS l
   FROM w a JOIN w b USING (conv_id) WHERE b.turn = a.turn + 1),
