@@ -4,7 +4,8 @@
 with a variable-bitrate table (frames, bytes and 100 seek points), then frames that carry 576 payload bytes each as
 ancillary data behind empty side information, protected by CRC-16, at bitrates that alternate. Such a stream is
 silence to a player and a container here. ``parse`` resynchronises on frame headers, skipping whatever lies between,
-reads tags and the variable-bitrate table, verifies each checksum, and gives exact durations and frame offsets.
+reads tags and the variable-bitrate table, verifies the checksums of Layer III (those of Layers I and II cover bit
+allocations, which aren't read here: such frames are counted as unverified), and gives exact durations and frame offsets.
 
 Null texts are empty; an empty text is one block of padding. Equal texts give equal streams and features. Bytes that
 are no MPEG audio parse to a stream without frames; a cut or damaged frame counts as skipped or bad.
@@ -161,6 +162,7 @@ class Stream:
     headers: list[Header] = field(default_factory=list)
     skipped: int = 0  # bytes that belong to no frame or tag
     bad: int = 0  # frames whose checksum is wrong
+    unverified: int = 0  # frames with a checksum that isn't verified: protected ones of Layers I and II
 
     @property
     def duration(self) -> Fraction:
@@ -219,7 +221,8 @@ _sums: dict[bytes, int] = {}
 
 
 def _checked(raw: bytes, at: int, h: Header) -> bool:
-    """The checksum of a protected Layer III frame: over the header's last two bytes and the side information."""
+    """Whether the checksum of a protected Layer III frame is right, which is over the header's last two bytes and the
+    side information; True for all others, which parse() counts as unverified if they are protected."""
     if not h.protected or h.layer != 3:
         return True
     covered = raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + h.side]
@@ -252,6 +255,7 @@ def parse(raw: bytes) -> Stream:
                     out.offsets.append(at)
                     out.headers.append(h)
                 out.bad += not _checked(raw, at, h)
+                out.unverified += h.protected and h.layer != 3
                 at, locked = after, True
                 continue
         step = raw.find(b"\xff", at + 1, end)
@@ -279,12 +283,13 @@ def pad(text: bytes) -> bytes:
 
 
 def feature(s: Stream) -> str:
-    """Exact duration, frames, mean bitrate, frame offsets at the quarters of the stream, and how clean it was."""
+    """Exact duration, frames, mean bitrate, frame offsets at the quarters of the stream, and how clean it was; frames with
+    checksums that aren't verified, if there are any."""
     d, n = s.duration, len(s.headers)
     mean = sum(h.bitrate for h in s.headers) / n if n else 0.0
     quarters = ",".join(str(s.offsets[i * n // 4]) for i in range(4)) if n else ""
     layer = f"mpeg{ {3: '1', 2: '2', 0: '2.5'}[s.headers[0].version] }l{s.headers[0].layer}" if n else "none"
-    return f"{layer};seconds={d.numerator}/{d.denominator};frames={n};kbps={mean:.3f};vbr={s.vbr.get('kind', '')}:{s.vbr.get('frames', 0)};seek={quarters};bad={s.bad};skipped={s.skipped}"
+    return f"{layer};seconds={d.numerator}/{d.denominator};frames={n};kbps={mean:.3f};vbr={s.vbr.get('kind', '')}:{s.vbr.get('frames', 0)};seek={quarters};bad={s.bad};skipped={s.skipped}" + f";unverified={s.unverified}" * (s.unverified > 0)
 
 
 def columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
