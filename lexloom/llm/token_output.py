@@ -2,18 +2,22 @@
 
 Range partitions of the documents by doc_id become shards: a task encodes the texts of one partition in order and
 writes their ids. A shard is two files: ``ids-NNNNN.bin`` (a header, then the raw little-endian ids of its documents in ascending
-order of doc_id, 16 bits each where the vocabulary fits, else 32) and ``idx-NNNNN.bin``, a minimal perfect hash: a
-displacement for each bucket of keys sends every key of the shard to a slot of its own, and the slot holds the key's
+order of doc_id, 16 bits each where the ids fit, else 32, then the key and the number of ids of each document) and
+``idx-NNNNN.bin``, a minimal perfect hash: a displacement for each bucket of keys sends every key of the shard to a slot of its own, and the slot holds the key's
 fingerprint, its offset and its number of ids. A key costs two hashes and one slot, however many there are; another
 key's fingerprint differs but once in 2**32. ``manifest`` has a row a shard: first and last key, ids before it.
+``Reader`` finds the shards of any key by the manifest and its documents there by the index.
 
 Files are written under a task's own name and renamed, and hold the same bytes whichever task writes them, so that a
 lost executor's shards are just written again.
 
 Null texts are empty: they hold the end id alone. Documents with the same doc_id (or none; null comes first) stand
-one behind the other, in order of a hash of their texts, and those of them that one shard holds share an entry whose
-length covers them all; reading gives each its own row, as every document ends with the end id and a key table keeps
-their number. However many share an id, they may lie in several shards. An empty table gives no shard.
+one behind the other, in order of a hash of their texts, and those of them that one shard holds share an entry, which
+says how many they are; reading cuts them by their stored numbers of ids, as the end id may be any text's too. However
+many share an id, they may lie in several shards. A null id is stored as the least 64-bit number, and an id of that
+value is read as null. The string of a special token in a text gets that token's id, as the library does it. Very long
+texts are encoded in parts, with the same ids. Only doc_id and text are read, so that other columns may have any names.
+An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,14 +37,16 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import as_text, materialize, shared_dir, slices
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
-#: Bytes of text in a shard, about; keys that share a displacement, about; the key of a null doc_id.
-SHARD_BYTES, LOAD, NULL_KEY = 32_000_000, 4, -(1 << 63)
+#: Bytes of text and documents in a shard, about; keys that share a displacement, about; the key of a null doc_id.
+SHARD_BYTES, SHARD_ROWS, LOAD, NULL_KEY = 32_000_000, 250_000, 4, -(1 << 63)
+#: Shards whose ids are summed by one window when the manifest is numbered.
+MANIFEST_BLOCK = 4096
 #: Chunks that a worker keeps, if no longer than so many characters; characters that arrays are made of at once.
 KEPT_CHUNKS, KEPT_BARE, KEPT_CHARS, SEGMENT = 500_000, 200_000, 48, 1_000_000
 MAGIC = b"LXID"
@@ -51,15 +58,15 @@ class Encoder:
     A space before anything but white space opens a piece of its own under this tokenizer's split, so a text's ids
     are those of the chunks that begin there, one behind the other. Chunks are told apart and their ids put together
     in arrays; those that aren't known yet are cut by the split's pattern, and the library's model gets their pieces
-    in its byte alphabet. Texts in which a space stands elsewhere go to the library whole.
+    in its byte alphabet. Texts in which a space stands elsewhere, or that hold the string of a special token, go to the
+    library whole.
     """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         from tokenizers import Tokenizer
 
         self._own = Tokenizer.from_file(path)
-        self._own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._odd = _odd
+        self._special = [t.content for t in self._own.get_added_tokens_decoder().values()]
         self._find = regex.compile(pattern).findall
         self._model = self._own.model  # each access copies it
         self._byte = {b: c for b, c in enumerate(_byte_alphabet())}
@@ -94,7 +101,7 @@ class Encoder:
         out: list[list[bytes]] = [[] for _ in texts]
         owner, parts, held = [], [], 0
         for k, text in enumerate(texts):
-            if self._odd(text):
+            if _odd(text) or any(x in text for x in self._special):
                 out[k] = self._ids([text])
                 continue
             for part in _segments(text):
@@ -220,24 +227,28 @@ def finger(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 0xF1) >> np.uint64(32)).astype(np.uint32)
 
 
+#: A slot: the key's fingerprint, the offset of its first id, the number of its first document in the shard, and how many it has.
+_ENTRY = [("finger", "<u4"), ("offset", "<u8"), ("document", "<u4"), ("documents", "<u4")]
+
+
 def files_of(keys: list[int], counts: list[int], ids: np.ndarray, wide: bool) -> tuple[bytes, bytes]:
     """The two files of a shard. Keys ascend and may repeat; counts are ids of each document."""
     k, c = np.array(keys, np.int64), np.array(counts, np.int64)
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     own = k[first]
     offset = np.r_[0, np.cumsum(c)]
-    length = np.diff(np.r_[offset[first], offset[-1]])
     ph = PerfectHash.build(own)
     slot = ph.slots(own)
-    table = np.zeros(len(own), [("finger", "<u4"), ("offset", "<u8"), ("length", "<u8")])
-    table["finger"][slot], table["offset"][slot], table["length"][slot] = finger(own), offset[first], length
-    data = MAGIC + struct.pack("<BxxxQQ", 4 if wide else 2, len(k), len(ids)) + ids.astype("<u4" if wide else "<u2").tobytes() + k.tobytes()
+    table = np.zeros(len(own), _ENTRY)
+    table["finger"][slot], table["offset"][slot] = finger(own), offset[first]
+    table["document"][slot], table["documents"][slot] = first, np.diff(np.r_[first, len(k)])
+    data = MAGIC + struct.pack("<BxxxQQ", 4 if wide else 2, len(k), len(ids)) + ids.astype("<u4" if wide else "<u2").tobytes() + k.astype("<i8").tobytes() + c.astype("<i8").tobytes()
     index = MAGIC + struct.pack("<xxxxQQ", len(own), len(ph.displacement)) + ph.displacement.astype("<u4").tobytes() + table.tobytes()
     return data, index
 
 
 class Shard:
-    """A shard's two files, read: ``get(key)`` gives the ids of a key's documents, or None."""
+    """A shard's two files, read: ``get(key)`` gives the ids of each of a key's documents, or None."""
 
     def __init__(self, data: bytes, index: bytes):
         if data[:4] != MAGIC or index[:4] != MAGIC:
@@ -245,9 +256,10 @@ class Shard:
         width, n_docs, n_ids = struct.unpack("<BxxxQQ", data[4:24])
         self.ids = np.frombuffer(data, f"<u{width}", n_ids, 24)
         self.keys = np.frombuffer(data, "<i8", n_docs, 24 + n_ids * width)
+        self.counts = np.frombuffer(data, "<i8", n_docs, 24 + n_ids * width + 8 * n_docs)
         n, m = struct.unpack("<xxxxQQ", index[4:24])
         self._hash = PerfectHash(np.frombuffer(index, "<u4", m, 24), n)
-        self.table = np.frombuffer(index, [("finger", "<u4"), ("offset", "<u8"), ("length", "<u8")], n, 24 + 4 * m)
+        self.table = np.frombuffer(index, _ENTRY, n, 24 + 4 * m)
 
     def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of keys, and whether the fingerprints there are theirs."""
@@ -256,13 +268,35 @@ class Shard:
         slot = self._hash.slots(keys)
         return slot, self.table["finger"][slot] == finger(keys)
 
-    def get(self, key: int | None) -> np.ndarray | None:
+    def spans(self, entry: np.void) -> Iterator[tuple[int, int]]:
+        """Where the ids of each of an entry's documents begin and end."""
+        at, first = int(entry["offset"]), int(entry["document"])
+        for n in self.counts[first : first + int(entry["documents"])].tolist():
+            yield at, at + n
+            at += n
+
+    def get(self, key: int | None) -> list[np.ndarray] | None:
         k = np.array([NULL_KEY if key is None else key], np.int64)
         slot, there = self.entries(k)
-        if not there[0]:
+        if not there[0] or self.keys[self.table[slot[0]]["document"]] != k[0]:
             return None
-        e = self.table[slot[0]]
-        return self.ids[int(e["offset"]) : int(e["offset"] + e["length"])].astype("<u4")
+        return [self.ids[a:b].astype("<u4") for a, b in self.spans(self.table[slot[0]])]
+
+
+class Reader:
+    """Keyed access to written shards. Holds a row a shard, and the shards read last."""
+
+    def __init__(self, manifest: DataFrame, folder: str, kept: int = 4):
+        rows = sorted(tuple(r) for r in manifest.select("shard", "first", "last").collect())
+        self._shards, self._first, self._last = ([r[k] for r in rows] for k in range(3))
+        self._read = lru_cache(maxsize=kept)(lambda shard: read_shard(folder, shard))
+
+    def get(self, key: int | None) -> list[np.ndarray]:
+        """The ids of each document with this doc_id, in the order of the shards; none if there is none."""
+        k, out = NULL_KEY if key is None else key, []
+        for i in range(bisect_left(self._last, k), bisect_right(self._first, k)):
+            out += self._read(self._shards[i]).get(key) or []
+        return out
 
 
 def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -284,12 +318,19 @@ def _get(folder: str, name: str) -> bytes:
         return f.read()
 
 
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode docs and write shards below ``folder``; the manifest: shard, first, last, documents, ids, start."""
+def read_shard(folder: str, shard: int) -> Shard:
+    return Shard(_get(folder, f"ids-{shard:05d}.bin"), _get(folder, f"idx-{shard:05d}.bin"))
+
+
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int = END, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Encode docs and write shards below ``folder``; the manifest: shard, first, last, documents, ids, start.
+
+    However few bytes they have, a shard holds about ``shard_rows`` documents at most.
+    """
     path = path or public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // shard_bytes))
+    whole = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    parts = max(1, -(-(whole["bytes"] or 0) // shard_bytes), -(-whole["n"] // shard_rows))
     ordered = rows.repartitionByRange(int(parts), "key", "tie").sortWithinPartitions("key", "tie", "text")
     stop = np.array([end], "<u4").tobytes()
 
@@ -316,11 +357,18 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, keys[0], keys[-1], len(keys), len(flat))], ["shard", "first", "last", "documents", "ids"])
 
     manifest = materialize(ordered.select("key", "text").mapInArrow(run, "shard long, first long, last long, documents long, ids long"), "manifest")
-    rows, start = [], 0
-    for r in manifest.orderBy("shard").collect():  # a row a shard
-        rows.append((*r, start))
-        start += r["ids"]
-    return docs.sparkSession.createDataFrame(rows, "shard long, first long, last long, documents long, ids long, start long")
+    return _started(manifest)
+
+
+def _started(manifest: DataFrame, block: int = MANIFEST_BLOCK) -> DataFrame:
+    """manifest with ``start``, the ids of all shards before: within blocks of shards, then over one row a block."""
+    b = F.floor(F.col("shard") / block)
+    inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    summed = manifest.withColumn("block", b).withColumn("start", F.coalesce(F.sum("ids").over(inside), none))
+    blocks = manifest.groupBy(b.alias("block")).agg(F.sum("ids").alias("all")).select("block", F.coalesce(F.sum("all").over(before), none).alias("base"))
+    return summed.join(blocks, "block").select("shard", "first", "last", "documents", "ids", (F.col("start") + F.col("base")).alias("start"))
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -329,22 +377,14 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = Shard(_get(folder, f"ids-{shard:05d}.bin"), _get(folder, f"idx-{shard:05d}.bin"))
+                s = read_shard(folder, shard)
                 first = np.flatnonzero(np.r_[True, s.keys[1:] != s.keys[:-1]]) if len(s.keys) else np.empty(0, np.int64)
-                repeats = np.diff(np.r_[first, len(s.keys)])
                 slot, there = s.entries(s.keys[first])
                 if not there.all():
                     raise ValueError(f"shard {shard}: a key's fingerprint isn't in the index")
                 out = ([], [], [], [])
-                for key, n, e in zip(s.keys[first].tolist(), repeats.tolist(), s.table[slot], strict=True):
-                    at, stop = int(e["offset"]), int(e["offset"] + e["length"])
-                    cuts = [at, stop]
-                    if n > 1:
-                        ends = np.flatnonzero(s.ids[at:stop] == END) + at + 1
-                        cuts = [at, *ends.tolist()]
-                        if len(ends) != n:
-                            raise ValueError(f"shard {shard}: documents of one key can't be told apart")
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for key, e in zip(s.keys[first].tolist(), s.table[slot], strict=True):
+                    for a, b in s.spans(e):
                         for column, x in zip(out, (None if key == NULL_KEY else key, start + a, b - a, zlib.crc32(s.ids[a:b].astype("<u4").tobytes())), strict=True):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
