@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows handled at once in a Python worker; long texts make even these slices a few tens of MB.
 SLICE = 256
+#: A key with more than this share of all rows, and this many, is dealt out by itself: fewer than a thousand keys can be.
+HEAVY, HEAVY_ROWS = 0.001, 1000
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -147,12 +149,39 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(parent)
 
 
+def heavy(df: DataFrame, column: str, share: float = HEAVY) -> list:
+    """The values of a column that more than ``share`` of the rows, and HEAVY_ROWS, have: fewer than 1 / share, whatever the data.
+
+    A first pass keeps at most 1 / share candidates for them, a second counts those exactly. Null is never one.
+    """
+    rows = df.select(F.col(column).alias("k"))
+    candidates = [x for x in rows.freqItems(["k"], share).first()[0] if x is not None]
+    if not candidates:
+        return []
+    counts = {r["k"]: r["n"] for r in rows.groupBy(F.when(F.col("k").isin(candidates), F.col("k")).alias("k")).agg(F.count("*").alias("n")).collect()}
+    least = max(share * sum(counts.values()), HEAVY_ROWS)
+    return sorted(k for k, n in counts.items() if k is not None and n > least)
+
+
+def join_skewed(many: DataFrame, few: DataFrame, *on: str) -> DataFrame:
+    """many join few, of which ``few`` has one row a key: keys whose first column is heavy in ``many`` never gather in a task.
+
+    Their rows of ``few`` are broadcast: as many as keys begin with a heavy value, so the first column should be all of the key or a hash's half.
+    """
+    hot = heavy(many, on[0])
+    if not hot:
+        return many.join(few, [*on])
+    there = F.col(on[0]).isin(hot)
+    calm = many.where(~there).join(few.where(~there), [*on])
+    return many.where(there).join(F.broadcast(few.where(there)), [*on]).unionByName(calm)
+
+
 def components(links: DataFrame, native: bool = False) -> DataFrame:
     """Connected components of links (a long, b long): rows (node, root) with root the smallest node reachable.
 
     Alternating large-star and small-star rounds. Every round is partial aggregation (the smallest neighbour of a
-    node) and an equi-join, so a hub's links are never gathered in one task; each round is written to the shared
-    folder. Nodes without links do not occur. ``native`` leaves out the Python pre-contraction of partitions.
+    node) and an equi-join in which hubs are broadcast, so that a hub's links are never gathered in one task; each round
+    is written to the shared folder. Nodes without links do not occur. ``native`` leaves out the Python pre-contraction of partitions.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     if not native:
@@ -162,11 +191,12 @@ def components(links: DataFrame, native: bool = False) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(join_skewed(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        small = join_skewed(large, down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         last, links = links, materialize(small.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b").distinct(), "stars")
         discard(last)
+        discard(large)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or (now["n"], now["h"]) == before:
             break
