@@ -35,6 +35,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lexloom_path = path
+    # shuffle files go when the driver's JVM collects the plan that made them, which it else may put off for half an hour
+    df.sparkSession._jvm.System.gc()
     return out
 
 

@@ -65,6 +65,28 @@ def test_edits_are_exact(own):
         assert edited.ids() == bpe.PrefixEncoder(own.vocabulary, raw[:start] + new + raw[end:]).ids()
 
 
+def test_edits_are_local(own):
+    """However long the text, an edit at its start recomputes few prefixes."""
+    rng = random.Random(6)
+    raw = bytes(rng.choice(b"the andreing stoion") for _ in range(6000))
+    for start, end, new in ((3, 9, b"xyz"), (0, 4, b""), (0, 0, b"ab"), (2990, 2991, b"q"), (5990, 6000, b"end")):
+        edited = bpe.PrefixEncoder(own.vocabulary, raw)
+        done = edited.edit(start, end, new)
+        assert edited.last == bpe.PrefixEncoder(own.vocabulary, raw[:start] + new + raw[end:]).last and bytes(edited.raw) == raw[:start] + new + raw[end:]
+        assert done <= len(new) + 2 * own.vocabulary.longest + 40
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=bpe.SHORT), max_size=12))
+def test_many_at_once_as_one_by_one(own, pieces):
+    assert own.vocabulary.encode(pieces) == [bpe.np.array(bpe.PrefixEncoder(own.vocabulary, x).ids(), "<u4").tobytes() for x in pieces]
+
+
+def test_every_token_is_itself(own):
+    some = [x for x in own.vocabulary.bytes[::7] if 0 < len(x) <= bpe.SHORT]
+    assert own.vocabulary.encode(some) == [own.vocabulary.rank[x].to_bytes(4, "little") for x in some]
+
+
 def test_digests(odd, clashing, library):
     want = sorted((str(r["doc_id"]), len(i), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in i)).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in odd.collect() for i in [library.encode_ordinary(r["text"] or "")])
     for docs in (odd, clashing):
