@@ -157,6 +157,8 @@ def heavy(df: DataFrame, column: str, share: float = HEAVY) -> list:
     A first pass keeps at most 1 / share candidates for them, a second counts those exactly. Null is never one.
     """
     rows = df.select(F.col(column).alias("k"))
+    if len(rows.take(HEAVY_ROWS + 1)) <= HEAVY_ROWS:
+        return []
     candidates = [x for x in rows.freqItems(["k"], share).first()[0] if x is not None]
     if not candidates:
         return []
