@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lexloom-")
         shared_dir.own = base
     return f"{base.rstrip('/')}/lexloom-{what}-{uuid.uuid4().hex}"

@@ -7,12 +7,14 @@ with the most code points stays, then the one with the smallest doc_id (null las
    is already in the table is logged as a reference. So a group of copies, however large, leaves one text a task.
 2. The driver builds the directory from a histogram of key prefixes: a bucket over its capacity splits, doubling the
    directory when the bucket is as deep as it. The histogram is refined only below overfull prefixes.
-3. Owner tasks get ranges of buckets, sorted by key, and stream through them: rows with one key are compared byte
-   for byte, and a text that differs from those before it is chained behind them. The buckets are written to the
-   shared folder. A task holds one chain at a time.
+3. Owner tasks get ranges of buckets, each bucket whole, sorted by key, and stream through them: rows with one key are
+   compared byte for byte, and a text that differs from those before it is chained behind them. The buckets are written
+   to the shared folder. A task holds one chain at a time, so a bucket may be of any size: its capacity grows with the
+   texts where there would else be more than BUCKETS of them, and the driver's directory stays bounded.
 4. Groups are counted by (key, place in the chain), first within scan tasks, and joined back to the log.
 
-A row that is repeated whole is a copy like any other: one of the rows stays. Empty tables give empty results.
+A row that is repeated whole is a copy like any other: one of the rows stays. Very long texts are like others. Only doc_id
+and text are read, so that other columns may have any names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, fresh, materialize, slices
+from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
 
 BLANK = b" \t\n\x0b\x0c\r"
-#: Bytes of texts that a scan task keeps to refer to; texts in a bucket; bits of a histogram.
-TABLE_BYTES, CAPACITY, HISTOGRAM_BITS, DEEPEST = 48 << 20, 20_000, 12, 48
+#: Bytes of texts that a scan task keeps to refer to; texts in a bucket; buckets, about; bits of the first histogram, and
+#: of those that refine it below overfull prefixes.
+TABLE_BYTES, CAPACITY, BUCKETS, HISTOGRAM_BITS, FINER_BITS, DEEPEST = 48 << 20, 2_000, 1 << 13, 12, 4, 48
 
 LOG = "rid long, doc_id long, n_cp long, key long, sha string, ref long, body binary"
 
@@ -81,7 +84,7 @@ class Directory:
         self.doublings = 0
         full, done, depth = [(0, 0)], [], 0
         while full:
-            step = min(HISTOGRAM_BITS, deepest - depth)
+            step = min(FINER_BITS if depth else HISTOGRAM_BITS, deepest - depth)
             if step <= 0:
                 done += full
                 break
@@ -121,6 +124,10 @@ def _prefix(depth: int) -> F.Column:
 
 
 def build_directory(texts: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """The driver gets 2**HISTOGRAM_BITS counts, then 2**FINER_BITS for each overfull prefix, of which there are at most
+    twice BUCKETS."""
+    capacity = max(capacity, -(-texts.count() // BUCKETS))
+
     def counts(depth: int, full: list[tuple[int, int]]) -> dict[int, int]:
         rows = texts
         at = full[0][0]
@@ -156,14 +163,12 @@ class Index:
         self.log, self.buckets, self.directory = log, buckets, directory
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, key_of=None) -> Index:
-    """``key_of`` (bytes -> signed 64-bit key) replaces the key for tests of chains."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def build_index(docs: DataFrame, capacity: int = CAPACITY, key_of=None, rid: str | None = None) -> Index:
+    """``key_of`` (bytes -> signed 64-bit key) replaces the key for tests of chains; ``rid`` names a column that numbers the rows."""
+    rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     log = materialize(rows.mapInArrow(lambda b: _scan(b, key_of), LOG), "log")
     texts = log.where("body is not null").select("key", "ref", "body")
     directory = build_directory(texts.select("key"), capacity)
-    starts = [x - (1 << 64) if x >= 1 << 63 else x for x in directory.bounds()]
-    # signed order puts the upper half of the keys first; the bucket number keeps the order of the directory
     spark = docs.sparkSession
     depth = directory.depth
     if depth <= 16:
@@ -179,9 +184,8 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, key_of=None) -> Index
         for d in sorted({d for d, _ in directory.buckets}):
             part = texts.withColumn("p", _prefix(d)).join(table.where(F.col("d") == d).select("p", "bucket"), "p").drop("p")
             owned = part if owned is None else owned.unionByName(part)
-    del starts
     parts = max(1, min(len(directory.buckets) * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    owned = owned.select("bucket", "key", "ref", "body").repartition(parts, "bucket", F.shiftright("key", 40)).sortWithinPartitions("bucket", "key", "ref")
+    owned = owned.select("bucket", "key", "ref", "body").repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "key", "ref")
     buckets = materialize(owned.mapInArrow(_owner, "bucket int, key long, ref long, slot int"), "buckets")
     return Index(log, buckets, directory)
 
@@ -206,21 +210,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row keeps; its columns stay as they are.
-
-    The rows to drop are found by (doc_id, digest, code points), so that a rerun of the scan can't shift them; of rows
-    equal in all three one stays.
-    """
-    found = groups(build_index(docs))
-    sha, n, d_, s_, n_ = fresh(docs, "_sha", "_n", "_keep_id", "_keep_sha", "_keep_n")
-    keep = found.where("rid = keep_rid").select(F.col("doc_id").alias(d_), F.col("sha").alias(s_), F.col("n_cp").alias(n_))
-    text = F.coalesce(docs["text"], F.lit(""))
-    marked = docs.withColumn(sha, F.sha2(F.translate(text, " \t\n\x0b\x0c\r", "").cast("binary"), 256)).withColumn(n, F.length(text))
-    joined = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(d_)) & (F.col(sha) == F.col(s_)) & (F.col(n) == F.col(n_)), "left_semi")
-    return joined.dropDuplicates(["doc_id", sha, n]).select(*docs.columns) if _repeated(docs) else joined.select(*docs.columns)
-
-
-def _repeated(docs: DataFrame) -> bool:
-    """Whether some doc_id occurs twice (or is null): only then can two rows share id and text."""
-    r = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    return r > 0
+    """docs without the rows whose text another row keeps; its columns stay as they are."""
+    keyed, rid = numbered(docs, "docs")
+    (mine,) = fresh(keyed, "_kept")
+    keep = groups(build_index(keyed, rid=rid)).where("rid = keep_rid").select(F.col("rid").alias(mine))
+    return keyed.join(keep, F.col(rid) == F.col(mine), "left_semi").select(*docs.columns)

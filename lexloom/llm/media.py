@@ -7,8 +7,10 @@ silence to a player and a container here. ``parse`` resynchronises on frame head
 reads tags and the variable-bitrate table, verifies the checksums of Layer III (those of Layers I and II cover bit
 allocations, which aren't read here: such frames are counted as unverified), and gives exact durations and frame offsets.
 
-Null texts are empty; an empty text is one block of padding. Equal texts give equal streams and features. Bytes that
-are no MPEG audio parse to a stream without frames; a cut or damaged frame counts as skipped or bad.
+Null texts are empty; an empty text is one block of padding. Equal texts, and so repeated rows, give equal streams and
+features. Very long texts are streams of many frames. Only doc_id and text are read, so that other columns may have any
+names. An empty table gives an empty result. Bytes that are no MPEG audio parse to a stream without frames; a cut or
+damaged frame counts as skipped or bad, and no bytes make the parser fail.
 """
 
 from __future__ import annotations
@@ -189,19 +191,23 @@ def _read_tag(raw: bytes, at: int, out: Stream) -> int:
     while p + 10 <= end and raw[p]:
         n = _unsafe(raw[p + 4 : p + 8]) if version >= 4 else int.from_bytes(raw[p + 4 : p + 8])
         name = raw[p : p + 4].decode("latin-1")
-        if name[0] == "T" and n:
-            kind, text = raw[p + 10], raw[p + 11 : p + 10 + n]
+        if name[0] == "T" and n and p + 10 < end:
+            kind, text = raw[p + 10], raw[p + 11 : min(p + 10 + n, end)]
             out.tags[name] = text.decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(kind, "utf-8"), "replace").rstrip("\0")
         p += 10 + n
     return end
 
 
 def _read_vbr(raw: bytes, at: int, h: Header, out: Stream) -> bool:
-    """Whether the frame is an information frame: Xing or Info behind the side information, or VBRI."""
+    """Whether the frame is an information frame: Xing or Info behind the side information, or VBRI. What would reach
+    beyond the frame is none."""
+    end = at + h.length
     p = at + 4 + 2 * h.protected + h.side
     kind = raw[p : p + 4]
     if kind in (b"Xing", b"Info"):
         flags, p = int.from_bytes(raw[p + 4 : p + 8]), p + 8
+        if p + sum(size for bit, size in ((1, 4), (2, 4), (4, 100), (8, 4)) if flags & bit) > end:
+            return False
         out.vbr["kind"] = kind.decode()
         for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
             if flags & bit:
@@ -209,8 +215,10 @@ def _read_vbr(raw: bytes, at: int, h: Header, out: Stream) -> bool:
                 p += size
         return True
     p = at + 4 + 32
-    if raw[p : p + 4] == b"VBRI":
+    if raw[p : p + 4] == b"VBRI" and p + 26 <= end:
         _, _, quality, size, frames, entries, scale, width, per = struct.unpack(">HHHIIHHHH", raw[p + 4 : p + 26])
+        if p + 26 + entries * width > end:
+            return False
         toc = [int.from_bytes(raw[p + 26 + i * width : p + 26 + (i + 1) * width]) * scale for i in range(entries)]
         out.vbr |= {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "toc": toc, "frames_per_entry": per}
         return True
@@ -294,11 +302,12 @@ def feature(s: Stream) -> str:
 
 def columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature; with ``keep_media`` the stream itself, its duration and its frame offsets too."""
-    schema = docs.select("doc_id").schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+    media_sha256, feature, the exact duration as seconds_num / seconds_den, and frame_offsets; with ``keep_media`` the
+    stream itself too."""
+    schema = docs.select("doc_id").schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string").add("seconds_num", "long").add("seconds_den", "long").add("frame_offsets", T.ArrayType(T.LongType()))
     if keep_media:
-        schema = schema.add("media", "binary").add("seconds", "double").add("frame_offsets", T.ArrayType(T.LongType()))
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.float64(), pa.list_(pa.int64())]
+        schema = schema.add("media", "binary")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -307,8 +316,9 @@ def columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 media = store(pad(text))
                 s = parse(media)
                 back = payload_of(media, s)
-                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s))
-                rows.append((*row, media, float(s.duration), s.offsets) if keep_media else row)
+                d = s.duration
+                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), d.numerator, d.denominator, s.offsets)
+                rows.append((*row, media) if keep_media else row)
             arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], k) for k in kinds[: len(schema) - 1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema.names)
 

@@ -7,12 +7,16 @@ a few probabilities at a time, without changing either total, until one of them
 documents at most as many probabilities as constraints stay fractional. These leftovers of all blocks are dealt
 into new blocks, level by level, until one block of each source is left; only its last few are landed by rounding.
 
-So a hot source is many blocks, and no task sees more than BLOCK documents of it. All choices come from hashes of
-what the rows hold, so that reruns agree.
+So a hot source is many blocks of about BLOCK documents each. All choices come from hashes of what the rows hold, so
+that reruns agree; rows that are alike in id, source and size, where they are more than an eighth of a block, are dealt by
+their numbers too, as they would else all come to one block. There is a row a source in the driver and in the joins, which
+are broadcasts only as long as Spark's own threshold allows.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are
 kept or dropped like others and take no words; a repeated row is a document of its own; an empty table gives an
-empty result; a source without any words has target 0 and its documents are taken 0 times.
+empty result; a source without any words has target 0 and its documents are taken 0 times; very long texts are like others,
+their size may exceed a source's target, which is then met as nearly as whole documents allow. Only doc_id, source and text
+are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one source that a task balances together, and the seed of the random directions.
 BLOCK, SEED = 4096, 11
+#: Kinds of rows alike that are told apart one by one.
+CROWDS = 1000
 
 
 def sizes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -118,19 +124,21 @@ def choose(sized: DataFrame, rates: dict[str | None, float], block: int = BLOCK)
     spark = sized.sparkSession
     schema = sized.select("rid", "source", "size", "h").schema.add("p", "double")
     known = spark.createDataFrame([(s, float(r)) for s, r in rates.items()], "source string, rate double")
-    # the table of sources is as small as the dictionary it was made of, which the driver holds already
-    base = materialize(sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["source"])).select("rid", sized["source"], "size", "h", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p")), "rates")
+    base = materialize(sized.join(known, sized["source"].eqNullSafe(known["source"])).select("rid", sized["source"], "size", "h", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p")), "rates")
     done = base.where((F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)).select("rid", F.round("p").alias("p"))
     rest = base.where((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)).select("rid", "source", "size", "h", "p")
     level = 0
+    crowds = [r["h"] for r in rest.groupBy("h").count().where(F.col("count") > max(1, block // 8)).limit(CROWDS + 1).collect()]
+    # by its number too, where so many rows are alike; where more kinds are than the list holds, all rows
+    crowded = F.lit(True) if len(crowds) > CROWDS else F.col("h").isin(crowds) if crowds else F.lit(False)
     while True:
-        most = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        blocks = -(-most // block)
-        if not most:
+        counts = {r["source"]: r["n"] for r in rest.groupBy("source").agg(F.count("*").alias("n")).collect()}
+        blocks = -(-max(counts.values(), default=0) // block)
+        if not blocks:
             break
-        counts = rest.groupBy("source").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        # one small row a source again
-        dealt = rest.join(F.broadcast(counts.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks").cast("long")))
+        cut = spark.createDataFrame([(s, -(-n // block)) for s, n in counts.items()], "_s string, blocks long")
+        mine = F.when(crowded, F.xxhash64("h", F.lit(level), "rid")).otherwise(F.xxhash64("h", F.lit(level)))
+        dealt = rest.join(cut, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(mine, F.col("blocks")))
         moved = materialize(dealt.groupBy("source", "block").applyInPandas(_balance(blocks <= 1), schema), "flight")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done = done.unionByName(moved.where(~open_).select("rid", "p"))
@@ -157,7 +165,7 @@ def totals(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     """doc_id, size, source_size, target, taken."""
     mixed, by_source, goal = mix(docs, weights, most, block)
     known = docs.sparkSession.createDataFrame([(s, n, float(goal[s])) for s, n in by_source.items()], "_s string, source_size long, target double")
-    return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed.join(known, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeat(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:

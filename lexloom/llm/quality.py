@@ -9,7 +9,8 @@ and compared with all of them by exact blocked matrix products; the K nearest vo
 class's votes are weighted by its share of the sample, so that the score doesn't lean to the larger class.
 
 Nothing but the text is read for a score. Null or empty texts, and texts far from every labelled one, get the score
-PRIOR. Without labels of both classes all documents get PRIOR. Repeated rows get equal scores.
+PRIOR. Without labels of both classes all documents get PRIOR. Repeated rows get equal scores. Very long texts are read in
+parts, with the same counts. Other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,13 +78,14 @@ class Tokens:
         """len(texts) x FEATURES."""
         out = np.zeros((len(texts), FEATURES), np.float32)
         for row, text in zip(out, texts, strict=True):
-            tokens = pieces(text)
+            tokens, before = pieces(text), None
             while part := list(islice(tokens, 20_000)):
                 if len(self._known) + len(part) > KEPT_TOKENS:
                     self._known.clear()
                 numbers = np.array([self._number(t) for t in part], np.int64)
                 found = self._table[numbers]
-                found[1:][numbers[1:] == numbers[:-1]] = REPEAT
+                found[np.r_[part[0] == before, numbers[1:] == numbers[:-1]]] = REPEAT
+                before = part[-1]
                 row += np.bincount(found.ravel(), minlength=FEATURES + 1)[:FEATURES].astype(np.float32)
         return out
 
@@ -98,13 +100,13 @@ class Quality:
     """``idf`` (FEATURES), ``axes`` (FEATURES x RANK), ``vectors`` (n x RANK, unit length), ``labels`` (n)."""
 
     def __init__(self, idf: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
-        self.idf, self.axes, self.vectors, self.labels = idf, axes, vectors, labels
+        self.idf, self.axes, self.vectors, self.labels = idf.astype(np.float64), axes.astype(np.float64), vectors.astype(np.float64), labels
         share = np.bincount(labels, minlength=2) if len(labels) else np.ones(2)
         self.weight = np.where(labels == 1, 1 / max(share[1], 1), 1 / max(share[0], 1)) if len(labels) else np.empty(0)
         self.fitted = len(set(labels.tolist())) == 2
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_unit(np.log1p(counts) * self.idf) @ self.axes)
+        return _unit(_unit(np.log1p(counts.astype(np.float64)) * self.idf) @ self.axes)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         out = np.full(len(counts), PRIOR)
@@ -112,10 +114,11 @@ class Quality:
             return out
         for at in range(0, len(counts), BLOCK):
             x = self.project(counts[at : at + BLOCK])
-            similar = x @ self.vectors.T
+            # 64-bit products, rounded, are the same in blocks of any size, so that equal texts score alike
+            similar = np.round(x @ self.vectors.T, 9)
             k = min(K, similar.shape[1])
             # ties of similarity at the K-th place: the lower row of the sample, as the order is that of the ids
-            near = np.argsort(-np.round(similar, 6), axis=1, kind="stable")[:, :k]
+            near = np.argsort(-similar, axis=1, kind="stable")[:, :k]
             s = np.maximum(np.take_along_axis(similar, near, 1), 0) ** SHARPNESS * self.weight[near]
             total = s.sum(1)
             out[at : at + BLOCK] = np.where(total > 1e-12, (s * self.labels[near]).sum(1) / np.maximum(total, 1e-12), PRIOR)
@@ -124,7 +127,7 @@ class Quality:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
-    return (x / np.where(n > 0, n, 1)).astype(np.float32)
+    return x / np.where(n > 0, n, 1).astype(x.dtype)
 
 
 def fit(sample: list[tuple[np.ndarray, int]]) -> Quality:
@@ -136,7 +139,7 @@ def fit(sample: list[tuple[np.ndarray, int]]) -> Quality:
     if not len(sample):
         return Quality(np.ones(FEATURES, np.float32), np.zeros((FEATURES, RANK), np.float32), np.zeros((0, RANK), np.float32), labels)
     idf = np.log((1 + len(sample)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.3
-    x = _unit(np.log1p(counts) * idf)
+    x = _unit((np.log1p(counts) * idf).astype(np.float32))
     rng = np.random.default_rng(SEED)
     q = x.T @ rng.normal(size=(len(x), min(RANK + 12, FEATURES))).astype(np.float32)
     for _ in range(4):
@@ -144,7 +147,7 @@ def fit(sample: list[tuple[np.ndarray, int]]) -> Quality:
     _, s, vt = np.linalg.svd(x @ q, full_matrices=False)
     axes = (q @ vt.T)[:, :RANK].astype(np.float32)
     model = Quality(idf, axes, np.zeros((len(x), axes.shape[1]), np.float32), labels)
-    model.vectors = _unit(x @ axes)
+    model.vectors = _unit(x.astype(np.float64) @ axes)
     return model
 
 

@@ -11,12 +11,12 @@ candidates and probes, as estimated from counts over all fingerprints. Threshold
 of t bits, so that equal keys meet. What meets is verified by the Hamming distance.
 
 A key shared by more than BUCKET fingerprints isn't gathered: its fingerprints meet again by key and four partitions
-of the other bits (one must be equal, as three differ at most), and where that is still too many, by pairs of blocks.
-No pairs are emitted from a bucket: a task walks it breadth first and gives a spanning forest of its links.
+of the other bits (one must be equal, as three differ at most), and where that is still too many, by pairs of blocks:
+there, n fingerprints that share a key and a quarter of all their bits cost 2n / BUCKET meetings each. No pairs are emitted from a bucket: a task walks it breadth first and gives a spanning forest of its links.
 
 Null texts are empty; empty texts have fingerprint 0 and link like others. Repeated rows and copies share one
 fingerprint. A document without an id links like others, but gives no component its number. An empty table gives an
-empty result.
+empty result. Very long texts are like others. Only doc_id and text are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, components, fresh, materialize, numbered, slices
+from lexloom.llm.common import as_bytes, components, fresh, join_skewed, materialize, numbered, slices
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 #: Fingerprints of one key that a task takes at once.
@@ -163,11 +163,10 @@ def plan(fps: DataFrame, choices: tuple[int, ...] = (2, 3, 4, 5, 6)) -> list[tup
     p = np.diag(both) / n
     tried = {m: group_bits(n, both, m) for m in choices}
     flat = [(m, i, bits) for m, ps in tried.items() for i, bits in enumerate(ps)]
-    same = {}
-    for m, i, bits in flat:
-        key = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        row = fps.groupBy(key.alias("k")).count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()
-        same[m, i] = float(row[0] or 0) / 2
+    keys = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("k")) for j, (_, _, bits) in enumerate(flat)]))
+    counted = fps.select(keys.alias("x")).groupBy("x.j", "x.k").agg(F.count("*").cast("double").alias("c")).groupBy("j").agg(F.sum(F.col("c") * F.col("c")).alias("s"))
+    pairs = {r["j"]: r["s"] for r in counted.collect()}  # a row a partition of the bits
+    same = {(m, i): pairs.get(j, 0.0) / 2 for j, (m, i, _) in enumerate(flat)}
     found = []
     for m, ps in tried.items():
         costs = []
@@ -305,7 +304,7 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     roots = materialize(components_of(rows, bucket).join(least, "fp"), "roots")
     names = roots.groupBy("root").agg(F.min("d").alias("component_id"))
     named = materialize(roots.join(names, "root").select("fp", "component_id"), "names")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_skewed(rows, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -7,10 +7,13 @@ place in the same one, has the digest. Documents are ordered by doc_id (null las
 Neighbouring duplicate units merge into spans, and spans of MIN_WORDS words or more are reported and removed; the
 first occurrence stays. A repeated passage of 51 words loses a part of a chunk at either end, hence the lower bound.
 
-A digest's first place is a partial aggregation, and duplicates are found by an equi-join with it that skewed keys
-can be split in; nothing gathers the places of a digest. What is gathered is bounded by one document.
+A digest has 128 bits. Its first place is a partial aggregation, and duplicates are found by an equi-join with it, in
+which digests that hold much of all places are broadcast, so that no task gathers the places of a digest. What is
+gathered is bounded by one document.
 
-Null and empty texts have no units. Whole copies are one span. Rows with one doc_id are documents of their own.
+Null and empty texts have no units. Very long texts are like others. Whole copies are one span. Rows with one doc_id are
+documents of their own. Only doc_id and text are read, so that other columns may have any names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
+from lexloom.llm.common import as_bytes, fresh, join_skewed, materialize, numbered, slices
 
 CHUNK, LONGEST, WIDTH, MIN_WORDS = 32, 512, 2, 15
 _GEAR = np.random.default_rng(1234).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -53,7 +56,7 @@ def cuts(raw: bytes, chunk: int = CHUNK) -> np.ndarray:
     return edge
 
 
-def units(raw: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def units(raw: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Chunk boundaries, words begun before each boundary, and the digest of each unit."""
     edge = cuts(raw)
     if len(edge) == 1:
@@ -62,20 +65,22 @@ def units(raw: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[
     begun = np.cumsum(~blank & np.r_[True, blank[:-1]])
     words = np.r_[0, begun][edge]
     w = min(width, len(edge) - 1)
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     e = edge.tolist()
     return edge, words, [digest(raw[a:b]) for a, b in zip(e, e[w:], strict=False)]
 
 
 def _cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        edges, words, digests = [], [], []
+        edges, words, halves = [], [], ([], [])
         for raw in as_bytes(batch.column(2)):
             e, w, d = units(raw)
             edges.append(e.astype(np.int32))
             words.append(w.astype(np.int32))
-            digests.append(np.array(d, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(edges, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.int64()))], ["rid", "doc_id", "edges", "words", "digests"])
+            both = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
+            for k in range(2):
+                halves[k].append(np.ascontiguousarray(both[:, k]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(edges, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in halves)], ["rid", "doc_id", "edges", "words", "d1", "d2"])
 
 
 def spans_of(edges: np.ndarray, words: np.ndarray, at: np.ndarray, first: list, width: int, least: int) -> list[tuple]:
@@ -115,10 +120,10 @@ def spans(docs: DataFrame, least: int = MIN_WORDS, rid: str | None = None) -> Da
     column that numbers the rows; without it they are numbered as they are read.
     """
     rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = materialize(rows.mapInArrow(_cut_all, "rid long, doc_id long, edges array<int>, words array<int>, digests array<long>"), "chunks")
-    places = cut.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "rid", F.posexplode("digests").alias("at", "digest"))
-    firsts = places.groupBy("digest").agg(F.min(F.struct("doc", "rid", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
-    hits = places.join(firsts, "digest").where("rid <> f.rid or at <> f.at").select("rid", F.struct("at", F.nullif(F.col("f.doc"), F.lit((1 << 63) - 1)).alias("first")).alias("hit"))
+    cut = materialize(rows.mapInArrow(_cut_all, "rid long, doc_id long, edges array<int>, words array<int>, d1 array<long>, d2 array<long>"), "chunks")
+    places = cut.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "rid", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("doc", "rid", "at", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"))
+    firsts = materialize(places.groupBy("d1", "d2").agg(F.min(F.struct("doc", "rid", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "f"), "firsts")
+    hits = join_skewed(places, firsts, "d1", "d2").where("rid <> f.rid or at <> f.at").select("rid", F.struct("at", F.nullif(F.col("f.doc"), F.lit((1 << 63) - 1)).alias("first")).alias("hit"))
     # no more than the units of one document
     by_doc = hits.groupBy("rid").agg(F.collect_list("hit").alias("hits"))
     return cut.select("rid", "doc_id", "edges", "words").join(by_doc, "rid").mapInArrow(_merge(WIDTH, least), "rid long, doc_id long, start int, end int, n_words int, first_docs array<long>")
@@ -129,6 +134,15 @@ def report(docs: DataFrame) -> DataFrame:
     return spans(docs).select("doc_id", "start", "end", "n_words", "first_docs")
 
 
+def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters that it begins or ends with."""
+    while start < end and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
 def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with the spans cut out of their texts (whole characters only); other columns stay."""
     keyed, rid = numbered(docs, "docs")
@@ -144,9 +158,10 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 if raw is not None and cut:
                     b, parts, last = raw.encode("utf-8", "surrogatepass"), [], 0
                     for s in cut:
-                        parts.append(b[last : s["start"]])
-                        last = s["end"]
-                    raw = b"".join([*parts, b[last:]]).decode("utf-8", "ignore")
+                        start, end = whole_characters(b, s["start"], s["end"])
+                        parts.append(b[last:start])
+                        last = end
+                    raw = b"".join([*parts, b[last:]]).decode("utf-8", "surrogatepass")
                 texts.append(raw)
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())

@@ -7,7 +7,8 @@ documents, then on passages, where a toxic document stands for its worst passage
 looked worst so far (multiple-instance learning, since a few words make a long document toxic).
 
 Nothing but the text is read for a score. A null or empty text has one empty passage and scores as the bias says.
-Repeated rows and rows with repeated ids each get their own equal score; other columns are left alone.
+Repeated rows and rows with repeated ids each get their own equal score; other columns are left alone, whatever their
+names. Very long texts are read whole, passage by passage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from lexloom.llm.common import as_text, labelled_sample, slices
 PER_CLASS = 1000
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 18, 6, 2, (3, 4, 5, 6)
 STEPS, RATE, DECAY, SEED = (8, 25, 25, 25, 25), 0.08, 1e-4, 7
+#: Subwords of fewer texts of the sample have no embedding: names and numbers of single texts would else be learnt by heart.
+LEAST_TEXTS = 3
 #: Subwords that a passage counts as having at least, so that a few words don't weigh more alone than among others.
 FULL = 20 * WINDOW
 THRESHOLD = 0.7
@@ -100,11 +103,11 @@ def fit(sample: list[tuple[tuple, int]]) -> Toxicity:
     emb, out, bias = rng.normal(0, 0.1, (DIM, BUCKETS)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     if len(set(labels.tolist())) < 2:
         return Toxicity(np.zeros_like(emb), out, np.array([3.0, -3.0], np.float32))
-    # subwords of few documents say nothing that another document could share
+    # subwords of few texts say nothing that another text could share; their embeddings stay zero
     seen = np.zeros(BUCKETS, np.int32)
     for (b, _, _), _ in sample:
         seen[np.unique(b)] += 1
-    live = (seen >= 3).astype(np.float32)
+    live = (seen >= LEAST_TEXTS).astype(np.float32)
     emb *= live
     state = [np.zeros_like(x) for x in (emb, out, bias) for _ in range(2)]
     t = 0

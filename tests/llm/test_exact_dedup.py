@@ -62,3 +62,23 @@ def test_dedup(odd, clashing):
 
 def test_empty(nothing):
     assert exact_dedup.report(nothing).collect() == [] and exact_dedup.dedup(nothing).collect() == []
+
+
+def test_buckets_lie_whole_in_contiguous_tasks(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    index = exact_dedup.build_index(texts, capacity=40)
+    rows = index.buckets.groupBy("bucket").agg(F.count_distinct(F.input_file_name()).alias("files")).collect()
+    assert len(rows) > 50 and all(r["files"] == 1 for r in rows)
+    by_file = index.buckets.groupBy(F.input_file_name().alias("f")).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).collect()
+    spans = sorted((r["lo"], r["hi"]) for r in by_file)
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_directory_is_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "BUCKETS", 8)
+    texts = spark.range(4000).select(F.xxhash64("id").alias("key"))
+    assert len(exact_dedup.build_directory(texts, 1).buckets) <= 32

@@ -4,6 +4,8 @@ import zlib
 from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lexloom.llm import media
 
@@ -81,3 +83,39 @@ def test_columns(odd, clashing, nothing):
     assert media.columns(nothing).collect() == []
     full = media.columns(odd, keep_media=True).collect()
     assert all(len(r["media"]) == r["media_bytes"] and len(r["frame_offsets"]) * media.UNIT == r["payload_bytes"] for r in full)
+
+
+def walk(raw: bytes):
+    """A small parser of the stored form alone: the tag's size, then frames by their lengths, the first one informing."""
+    at = 10 + (raw[6] << 21 | raw[7] << 14 | raw[8] << 7 | raw[9])
+    offsets, kbps = [], []
+    while at < len(raw):
+        assert raw[at] == 0xFF and raw[at + 1] == 0xFA
+        rate = {0xC4: 224, 0xD4: 256}[raw[at + 2]]
+        offsets.append(at)
+        kbps.append(rate)
+        at += 144000 * rate // 48000
+    assert at == len(raw) and b"Xing" in raw[offsets[0] : offsets[1]]
+    return offsets[1:], kbps[1:]
+
+
+def test_columns_by_another_parser(odd):
+    for r in media.columns(odd, keep_media=True).collect():
+        offsets, kbps = walk(r["media"])
+        n = len(offsets)
+        assert r["frame_offsets"] == offsets and Fraction(r["seconds_num"], r["seconds_den"]) == Fraction(n * 1152, 48000)
+        assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        want = f"mpeg1l3;seconds={r['seconds_num']}/{r['seconds_den']};frames={n};kbps={sum(kbps) / n:.3f};vbr=Xing:{n};seek={','.join(str(offsets[i * n // 4]) for i in range(4))};bad=0;skipped=0"
+        assert r["feature"] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=300), st.integers(0, 3000), st.integers(0, 3000))
+def test_no_bytes_make_the_parser_fail(noise, a, b):
+    whole = media.store(media.pad(b"x" * 700))
+    cut = whole[min(a, b) : max(a, b)]
+    vbri = b"\xff\xfb\x90\x00" + bytes(32) + b"VBRI" + noise
+    for raw in (noise, cut, cut + noise, noise + cut, b"ID3\x04\0\0\0\0\x7f\x7f" + noise, b"ID3\x04\0\0\0\0\0\x0bTIT2\0\0\0\x09\0\0", vbri, vbri.ljust(417, b"\xff"), noise + b"TAG".ljust(128, b"z")):
+        s = media.parse(raw)
+        assert len(s.offsets) == len(s.headers) and s.skipped <= len(raw)
+        media.feature(s)

@@ -84,3 +84,27 @@ def test_repeat(odd, clashing):
     for r in out.collect():
         got[str(r["doc_id"])] = got.get(str(r["doc_id"]), 0) + size(r["text"])
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_rows_all_alike_are_dealt_to_blocks_too(spark, monkeypatch):
+    """However many rows agree in id, source and size, no block gets them all."""
+    from pyspark.sql import functions as F
+
+    balance = mixing._balance
+
+    def spy(last):
+        run = balance(last)
+
+        def counted(key, part):
+            assert len(part) < 3 * 64
+            return run(key, part)
+
+        return counted
+
+    monkeypatch.setattr(mixing, "_balance", spy)
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 > 0, "s").alias("source"))
+    rows = mixing.totals(docs, block=64).collect()
+    assert len(rows) == 3000
+    for source in ("s", None):
+        mine = [r for r in rows if r["target"] == {r["source_size"]: r["target"] for r in rows}[{"s": 6000, None: 3000}[source]]]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 6

@@ -92,3 +92,25 @@ def test_odd_rows(odd, clashing, nothing):
     out = sd.dedup(clashing)
     assert out.columns == clashing.columns and out.count() == odd.count()
     assert sd.report(nothing).collect() == [] and sd.dedup(nothing).collect() == []
+
+
+def test_cuts_move_to_whole_characters():
+    raw = "aé漢😀b".encode()
+    for start in range(len(raw) + 1):
+        for end in range(start, len(raw) + 1):
+            s, e = sd.whole_characters(raw, start, end)
+            assert start <= s <= e <= end
+            assert (raw[:s] + raw[e:]).decode() is not None
+
+
+def test_a_unit_that_many_places_share(spark):
+    """A passage in every document is found in all but the first, also where its digests are joined apart."""
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    docs = [(i, words(rng, 5) + " " + passage + " " + words(rng, 5)) for i in range(1500)]
+    found = sd.report(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 1500))

@@ -32,3 +32,24 @@ def test_same_start_other_scores():
     model = quality.fit([((np.flatnonzero(r), r[np.flatnonzero(r)]), y) for r, y in zip(rows, labels, strict=True)])
     good, bad = model.scores(tokens.counts([blob(1), blob(0)]))
     assert good > 0.9 and bad < 0.1
+
+
+def test_repeats_are_carried_over_parts():
+    """20,001 equal tokens: all but the first repeat."""
+    row = quality.Tokens().counts(["ab " * 20_001])[0]
+    assert row[list(quality.REPEAT)[0]] == 20_000
+
+
+def test_scores_do_not_depend_on_the_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sample = [(rng.choice(quality.FEATURES, 40, replace=False), np.ones(40, np.float32)) for _ in range(200)]
+    model = quality.fit([((w, n), i % 2) for i, (w, n) in enumerate(sample)])
+    counts = np.zeros((150, quality.FEATURES), np.float32)
+    for row in counts:
+        row[rng.choice(quality.FEATURES, 60, replace=False)] = 1
+    counts[::3] = counts[0]
+    whole = model.scores(counts)
+    assert len(set(whole[::3].tolist())) == 1
+    assert all((model.scores(counts[a : a + 7]) == whole[a : a + 7]).all() for a in range(0, 150, 7))
