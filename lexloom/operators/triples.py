@@ -14,6 +14,13 @@ PREPOSITIONS = ("of", "on", "in", "at", "for", "to", "with", "about", "against",
 SPAN = 6
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator stands between them and what reads them, across which
+    the optimizer neither copies expressions nor moves filters."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select(*[c for c in df.columns if c not in columns], made).select("*", "_once.*").drop("_once")
+
+
 def scored(line: Column, threshold: float) -> Column:
     """score: (a; r; b) -> a;r;b where the score reaches the threshold and there are three parts, else null."""
     score = F.regexp_extract(line, r"^\s*([0-9.]+)\s*:", 1)
@@ -47,10 +54,14 @@ def parts(triple: Column) -> Column:
     return F.when(F.size(p) == 3, p)
 
 
-def short(triple: Column, most: int = SPAN) -> Column:
-    """Three parts of at most so many words each."""
-    p = parts(triple)
-    return p.isNotNull() & F.forall(p, lambda x: F.size(T.tokens(x)) <= most)
+def worded(triples: DataFrame) -> DataFrame:
+    """triples (triple, ...) with ``words``: the words of each of its parts."""
+    return once(triples, words=F.transform(F.split("triple", ";"), lambda x: T.tokens(F.trim(x))))
+
+
+def short_triples(triples: DataFrame, most: int = SPAN) -> DataFrame:
+    """triples (triple, ...), with their words, that have three parts of at most so many words each."""
+    return worded(triples).where((F.size("words") == 3) & F.forall("words", lambda x: F.size(x) <= most))
 
 
 def mentioning(triples: Column, *keywords: str) -> Column:
@@ -76,11 +87,11 @@ def keyword_triples(triples: DataFrame, phrases: DataFrame, most: int = SPAN) ->
     """triples (id, triple) of short parts whose arguments hold a dictionary phrase, found as in running text."""
     from lexloom.operators.phrases import matches
 
-    kept = triples.where(short(F.col("triple"), most))
-    p = parts(F.col("triple"))
-    ends = kept.select(F.col("id"), F.explode(F.array(p[0], p[2])).alias("sentence")).select(F.col("id").alias("sent_id"), "sentence")
+    kept = short_triples(triples, most)
+    w = F.col("words")
+    ends = kept.select(F.col("id").alias("sent_id"), F.explode(F.array(w[0], w[2])).alias("w")).select("sent_id", F.array_join("w", " ").alias("sentence"))
     hit = matches(ends, phrases).select(F.col("sent_id").alias("id")).distinct()
-    return kept.join(hit, "id", "left_semi")
+    return kept.drop("words").join(hit, "id", "left_semi")
 
 
 def spans(triples: DataFrame, least: int = 1, length: int = SPAN) -> tuple[DataFrame, DataFrame]:
@@ -88,9 +99,8 @@ def spans(triples: DataFrame, least: int = 1, length: int = SPAN) -> tuple[DataF
     padded and numbered; triples with an unknown word are dropped."""
     from lexloom.operators.corpus import token_counts, vocabulary
 
-    p = parts(F.lower("triple"))
-    rows = triples.where(short(F.col("triple"), length)).select("id", F.posexplode(p).alias("part", "span"))
-    toks = rows.select("id", "part", F.posexplode(T.tokens("span")).alias("pos", "token"))
+    rows = short_triples(triples.withColumn("triple", F.lower("triple")), length).select("id", F.posexplode("words").alias("part", "span"))
+    toks = rows.select("id", "part", F.posexplode("span").alias("pos", "token"))
     vocab = vocabulary(token_counts(toks, least), (T.UNK, T.PAD))
     known = toks.join(vocab.select("token", F.col("id").alias("t")), "token", "left")
     whole = known.groupBy("id").agg(F.count("*").alias("n"), F.count("t").alias("k"), F.collect_list(F.struct("part", "pos", "t")).alias("x")).where("n = k")

@@ -46,7 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores: one small file would otherwise be one task."""
+    """Rows dealt to all cores where the scan has fewer parts than these, as one small file would otherwise be one task.
+    A scan of many parts stays as it is."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 

@@ -9,6 +9,7 @@ from lexloom.functions import text as T
 from lexloom.operators import corpus as C
 from lexloom.operators import phrases as P
 from lexloom.plans.base import CEILING, GRAPH, LONG_TOKENS, OCCURRENCES, SENTENCES, TOKENS, documents, every_word, literal, query, rounded, spread, table, values
+from lexloom.sources.files import stored
 
 
 def _toks(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
@@ -21,11 +22,13 @@ def _occ(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pair_graph(C.sentence_sets(_occ(spark, sf_dir)))[0]
+    # nodes, edges and totals read the sets
+    return C.pair_graph(stored(C.sentence_sets(_occ(spark, sf_dir)), "sets"))[0]
 
 
 def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.subgraph(_graph(spark, sf_dir)).select("u", "v", "c", "npmi")
+    """Strong edges, which most queries read several times."""
+    return stored(C.subgraph(_graph(spark, sf_dir)).select("u", "v", "c", "npmi"), "strong")
 
 
 _STRONG = GRAPH + ", strong AS (SELECT * FROM graph WHERE npmi > 0.3 AND c >= 3)"

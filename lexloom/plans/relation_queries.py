@@ -10,6 +10,7 @@ from lexloom.operators import corpus as C
 from lexloom.operators import dependency as D
 from lexloom.operators import triples as R
 from lexloom.plans.base import CEILING, TOKENS, WS, documents, every_word, literal, query, spread, table, values
+from lexloom.sources.files import stored
 
 _PREP = ", ".join(f"'{p}'" for p in D.PREPOSITIONS)
 _RELS = "[" + ", ".join(f"'{r}'" for r in D.RELATIONS) + "]"
@@ -166,14 +167,14 @@ triple AS (SELECT id, array_to_string(list_slice(w, 1, len(w) // 3), ' ') AS x,
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence cut into thirds: a stand-in for an extractor."""
     w, k = F.col("w"), F.floor(F.size("w") / 3).cast("int")
-    cut = C.sentences(spread(documents(spark, sf_dir))).select(F.col("sent_id").alias("id"), T.word_tokens("sentence").alias("w")).where(F.size("w") >= 3)
+    cut = R.once(C.sentences(spread(documents(spark, sf_dir))).withColumnRenamed("sent_id", "id"), w=T.word_tokens("sentence")).where(F.size("w") >= 3)
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
-    return cut.select("id", F.concat_ws("; ", part(F.lit(1), k), part(k + 1, k), part(2 * k + 1, F.size("w"))).alias("triple"))
+    return R.once(cut, triple=F.concat_ws("; ", part(F.lit(1), k), part(k + 1, k), part(2 * k + 1, F.size("w")))).select("id", "triple")
 
 
 @query(f"WITH {_TRIPLES} SELECT id, concat_ws('; ', x, r, y) AS triple FROM triple WHERE n // 3 <= 6 AND n - 2 * (n // 3) <= 6")
 def flt6_short_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _triples(spark, sf_dir).where(R.short(F.col("triple")))
+    return R.short_triples(_triples(spark, sf_dir)).select("id", "triple")
 
 
 _SHORT = _TRIPLES + ", short AS (SELECT * FROM triple WHERE n // 3 <= 6 AND n - 2 * (n // 3) <= 6)"
@@ -186,9 +187,9 @@ def flt7_keyword_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short triples whose arguments hold a frequent pair of words."""
     from lexloom.operators.phrases import grams
 
-    rows = _triples(spark, sf_dir)
-    p = R.parts(F.col("triple"))
-    args = rows.where(R.short(F.col("triple"))).select(F.explode(F.array(p[0], p[2])).alias("a")).select(T.word_tokens("a").alias("w"))
+    rows = stored(_triples(spark, sf_dir), "triples")
+    w = F.col("words")
+    args = R.short_triples(rows).select(F.explode(F.array(w[0], w[2])).alias("w"))
     phrases = args.select(F.explode(grams("w", 2)).alias("g")).groupBy(F.col("g.phrase").alias("phrase")).agg(F.count("*").alias("n")).where("n >= 5").select("phrase")
     return R.keyword_triples(rows, phrases)
 
@@ -221,7 +222,7 @@ v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS i F
 p AS (SELECT id, part, list(i ORDER BY pos) AS ids FROM tok JOIN v USING (token) WHERE id IN (SELECT id FROM n WHERE n = k) GROUP BY 1, 2)
 SELECT id, string_agg(array_to_string(list_slice(list_concat(ids, [1, 1, 1, 1, 1, 1]), 1, 6), ' '), ' ' ORDER BY part) AS ids FROM p GROUP BY id""")
 def oie6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = R.spans(_triples(spark, sf_dir), 3)
+    rows, _ = R.spans(stored(_triples(spark, sf_dir), "triples"), 3)
     return rows.select("id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 

@@ -19,16 +19,26 @@ NPY_BLOCK, SPAN_BLOCK = 1_000_000, 500_000
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, else (in tests) below a temporary one."""
+    """A fresh folder below spark.checkpoint.dir; only a local master (as in tests) may do without, and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lexloom-")
         shared_dir.own = base
     return f"{base.rstrip('/')}/lexloom-{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once for all its uses, and its lineage cut."""
+    path = shared_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
