@@ -86,3 +86,9 @@ def silhouette_score(x: np.ndarray, labels: np.ndarray) -> float:
     b = mean.min(1)
     s = np.where(n[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12))
     return float(s.mean())
+
+
+def first_hits(keywords: DataFrame, entities: DataFrame) -> DataFrame:
+    """keywords (kw), entities (label, entity) -> kw, entity (the smallest of its label's, -1 where there is none), found: misses are for the log."""
+    first = entities.groupBy("label").agg(F.min("entity").alias("entity"))
+    return keywords.join(first, F.col("kw") == F.col("label"), "left").select("kw", F.coalesce("entity", F.lit(-1).cast("long")).alias("entity"), F.col("entity").isNotNull().alias("found"))

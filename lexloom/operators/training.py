@@ -21,6 +21,8 @@ from lexloom.operators.vectors import attention_pool
 
 #: Numbers that a model may have to be sent to the workers.
 MOST_PARAMETERS = 200_000_000
+#: Rows among which negatives are shuffled.
+ROWS_SHUFFLED = 100_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,14 +122,15 @@ def train_sgns(pairs: DataFrame, width: int = 50, epochs: int = 3, negatives: in
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([[loss, float(n)]], pa.list_(pa.float64()))], ["kind", "id", "d"])
 
         flat = rows.mapInArrow(run, "kind int, id int, d array<double>").select("kind", "id", F.posexplode("d").alias("i", "x"))
-        merged = flat.groupBy("kind", "id", "i").agg(F.avg("x").alias("x"), F.sum("x").alias("s"))
+        means = flat.groupBy("kind", "id", "i").agg(F.when(F.col("kind") == 2, F.sum("x")).otherwise(F.avg("x")).alias("x"))
+        merged = means.groupBy("kind", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("d"))
         loss, n = 0.0, 1.0
         w, c = w.copy(), c.copy()
-        for r in merged.toLocalIterator():  # as many as the model has parameters
+        for r in merged.toLocalIterator():  # a row a word or context that moved
             if r["kind"] == 2:
-                loss, n = (r["s"], n) if r["i"] == 0 else (loss, r["s"])
+                loss, n = r["d"]
             else:
-                (w, c)[r["kind"]][r["id"], r["i"]] += r["x"]
+                (w, c)[r["kind"]][r["id"]] += np.array(r["d"])
         model.losses.append(loss / max(n, 1.0))
     model.vectors, model.context_vectors = w, c
     return model
@@ -279,11 +282,12 @@ def pair_loss(positive: Column, *negatives: Column) -> Column:
 
 def shuffled(df: DataFrame, key: str, columns: Sequence[str], seed: int = 45) -> DataFrame:
     """df with neg_... columns from other rows: rows are dealt to blocks by hash, and each takes those of the next row
-    in an order by hash within its block, so that no global order is needed."""
+    in an order by hash within its block, so that no global order is needed. A block has about ROWS_SHUFFLED rows."""
     from pyspark.sql import Window
 
     dealt = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    block = Window.partitionBy(F.pmod("_h", F.lit(1024))).orderBy("_h", key)
+    blocks = max(1, -(-df.count() // ROWS_SHUFFLED))
+    block = Window.partitionBy(F.pmod("_h", F.lit(blocks))).orderBy("_h", key)
     first = {c: F.first(c).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in columns}
     return dealt.select(*df.columns, *[F.coalesce(F.lead(c).over(block), first[c]).alias(f"neg_{c}") for c in columns])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import corpus as C
 from lexloom.operators import search as S
 from lexloom.plans import services
-from lexloom.plans.base import TOKENS, documents, query, rounded, spread, table
+from lexloom.plans.base import GRAPH, TOKENS, documents, query, rounded, spread, table
 from lexloom.plans.corpus_queries import _graph
 from lexloom.plans.search_queries import _BM25, FIELDS, _related
 from lexloom.plans.vector_queries import _S, _vectors
@@ -40,6 +40,24 @@ def service_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.neighbours(_vectors(spark, sf_dir), 0, 0.2)[1].select("id", rounded("score"))
 
 
+@query(f"""WITH {GRAPH} SELECT 'sentences' AS step, count(*) AS n FROM sents UNION ALL SELECT 'tokens', count(*) FROM toks UNION ALL SELECT 'dictionary', count(*) FROM dict
+UNION ALL SELECT 'occurrences', count(*) FROM occ UNION ALL SELECT 'edges', count(*) FROM graph UNION ALL SELECT 'nodes', count(*) FROM node UNION ALL SELECT 'strong', count(*) FROM graph WHERE npmi > 0.3 AND c >= 3""")
+def cmp3_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data preparation from raw documents to strong edges: rows of each step."""
+    steps = services.prepare(spread(documents(spark, sf_dir)))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n") for name, df in steps.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query(f"WITH {GRAPH}, kept AS (SELECT u, v, c, round(npmi, 2) AS npmi FROM graph WHERE c >= 5 AND round(npmi, 2) >= 0.15) SELECT u AS src, v AS dst, c, npmi FROM kept WHERE u = 'tion' UNION ALL SELECT v, u, c, npmi FROM kept WHERE v = 'tion'")
+def service_pair_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords tied to one by the pair table."""
+    return services.pair_neighbours(_graph(spark, sf_dir), "tion").select("src", "dst", "c", "npmi")
+
+
 @query()
 def service_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words related to the best-linked one, clustered; vectors are dealt to words by number."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import clustering, corpus, search, vectors
 from lexloom.operators.graph import expand
+from lexloom.sources.files import stored
 
 
 def search_papers(records: DataFrame, index: DataFrame, key: str, keywords: str, fields: Sequence[str], positioned: Sequence[str], is_strict: bool = False, limit: int = 5, highlight: bool = False, show: Sequence[str] = ()) -> DataFrame:
@@ -85,10 +86,12 @@ def keyword_tree(vecs: DataFrame, centre: int, related: float, together: float,
 
 
 def prepare(docs: DataFrame, least_docs: int = 5, score: float = 0.3, least: int = 3) -> dict[str, DataFrame]:
-    """The corpus pipeline: sentences, tokens, dictionary, occurrences, pair graph, strong edges."""
+    """The corpus pipeline: sentences, tokens, dictionary, occurrences, pair graph, strong edges. What later steps read
+    more than once is stored."""
     sents = corpus.sentences(docs)
     toks = corpus.tokens(sents, 4)
     words = corpus.dictionary(toks, least_docs)
-    occ = corpus.occurrences(toks, words)
-    edges, nodes = corpus.pair_graph(corpus.sentence_sets(occ))
+    occ = stored(corpus.occurrences(toks, words), "occurrences")
+    edges, nodes = corpus.pair_graph(stored(corpus.sentence_sets(occ), "sets"))
+    edges = stored(edges, "edges")
     return {"sentences": sents, "tokens": toks, "dictionary": words, "occurrences": occ, "edges": edges, "nodes": nodes, "strong": corpus.subgraph(edges, score, least)}

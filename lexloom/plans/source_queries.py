@@ -105,8 +105,19 @@ def src10_binary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["content"])
 
     rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("token"), F.col("embedding").alias("vec"))
-    rows.mapInArrow(pack, "content binary").write.parquet(path)
-    return S.unpack_vectors(spark.read.schema("content binary").parquet(path)).select("token", F.round(F.element_at("vec", 1).cast("double"), 5).alias("first"))
+    packed = rows.mapInArrow(pack, "content binary")
+    write = S._put_bytes(path)
+
+    def put(batches):
+        import uuid
+
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                write(f"{uuid.uuid5(uuid.NAMESPACE_OID, raw[:4096].hex())}.bin", raw)
+                yield pa.RecordBatch.from_arrays([pa.array([len(raw)], pa.int64())], ["n"])
+
+    packed.mapInArrow(put, "n long").agg(F.sum("n")).collect()  # one number
+    return S.binary_vectors(spark, path).select("token", F.round(F.element_at("vec", 1).cast("double"), 5).alias("first"))
 
 
 _SENTENCE = "1\\tstars\\t_\\tN\\t2\\tnsubj\\t_\\t_\n2\\tshine\\t_\\tV\\t0\\troot\\t_\\t_".replace("\\t", "\t")
@@ -218,9 +229,57 @@ def src22_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url")
 
 
-@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+@query("SELECT 'v' || vec_id AS token, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 def src11_stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also SRC24: vectors as columns."""
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(total, 4).alias("total"))
-
+    """Array files with their token lists, written and read back."""
+    path = S.shared_dir(spark, "stored")
+    S.write_stored_vectors(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("token"), F.col("embedding").alias("vec")), path)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return S.stored_vectors(spark, path).select("token", F.round(total, 4).alias("total"))
+
+
+@query("""SELECT p_partkey, coalesce(round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4), 16.0) AS total
+FROM part LEFT JOIN embeddings ON vec_id = p_partkey AND vec_id % 3 > 0""")
+def src24_pretrained_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with vectors of a pretrained file, a third of which it lacks; those get a default. The file is built once."""
+    path = S.shared_dir(spark, "pretrained")
+    own = table(spark, sf_dir, "embeddings").where("vec_id % 3 > 0").select(F.concat(F.lit("w"), "vec_id").alias("token"), F.col("embedding").alias("vec"))
+    cached = S.open_or_build(spark, path, lambda: own)
+    words = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("w"), "p_partkey").alias("token"))
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return S.filled(words, cached, 64, 0.25).select("p_partkey", F.round(total, 4).alias("total"))
+
+
+_HANDLE = [(f"word{i % 7}", None) for i in range(40)]
+
+
+@query("SELECT 'word' || (i % 7) AS token, count(*) AS cn FROM range(40) AS t(i) GROUP BY 1")
+def src25_stream_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an open stream, counted."""
+    import io
+
+    path = S.shared_dir(spark, "stdin")
+    return S.from_stream(spark, io.StringIO("".join(f"{w}\n" for w, _ in _HANDLE)), path, 16).groupBy(F.col("line").alias("token")).agg(F.count("*").alias("cn"))
+
+
+@query("SELECT 's' || (p_partkey % 4) AS shard, count(DISTINCT upper(p_name)) AS n FROM part WHERE p_size > 10 GROUP BY 1")
+def udf3_sharded_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row operator over sharded files that drops some lines, and one on what is left of each file's shard."""
+    path = S.shared_dir(spark, "shards")
+    line = F.concat_ws("|", F.col("p_size").cast("string"), "p_name").alias("value")
+    table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.pmod("p_partkey", F.lit(4))).alias("shard"), line).write.partitionBy("shard").text(path)
+    size = lambda x: F.split(x, "[|]", 2)
+    row = lambda x: F.when(size(x)[0].cast("int") > 10, F.upper(size(x)[1]))
+    shard = F.regexp_extract("file", "shard=([^/]*)/", 1).alias("shard")
+    return S.map_files(spark, path, row, lambda df: df.groupBy(shard).agg(F.count_distinct("line").alias("n")))
+
+
+@query("""SELECT kw, coalesce(min(p_partkey), -1)::BIGINT AS entity, count(p_partkey) > 0 AS found
+FROM (SELECT DISTINCT p_brand AS kw FROM part UNION SELECT 'Nothing' AS kw) LEFT JOIN part ON p_brand = kw GROUP BY kw""")
+def src21_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by an offline table of entities: the first hit of each, or a miss for the log."""
+    from lexloom.operators.graph import first_hits
+
+    parts = table(spark, sf_dir, "part")
+    words = parts.select(F.col("p_brand").alias("kw")).distinct().union(literal(spark, [("Nothing",)], "kw string"))
+    return first_hits(words, parts.select(F.col("p_brand").alias("label"), F.col("p_partkey").cast("long").alias("entity")))

@@ -127,8 +127,123 @@ def unpack_vectors(files: DataFrame, normalize: bool = False) -> DataFrame:
     return files.select("content").mapInArrow(run, "token string, vec array<float>")
 
 
+#: Vectors that a reader of binary files gives at once, and bytes that it asks for at once.
+VECTORS_AT_ONCE, READ_BYTES = 4096, 1 << 20
+
+
 def binary_vectors(spark: SparkSession, path: str, normalize: bool = False) -> DataFrame:
-    return unpack_vectors(spark.read.format("binaryFile").load(path), normalize)
+    """token, vec of files as unpack_vectors() has them, of any length: a task streams through each, batch by batch."""
+    files = spark.read.format("binaryFile").load(path).select("path").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else uri.replace(":/", ":///", 1))
+                with fs.open_input_stream(at, buffer_size=READ_BYTES) as f:
+                    yield from _vectors_of(f, normalize)
+
+    return files.repartition(F.col("path")).mapInArrow(run, "token string, vec array<float>")
+
+
+def _vectors_of(f, normalize: bool) -> Iterator[pa.RecordBatch]:
+    held = b""
+
+    def more() -> bool:
+        nonlocal held
+        got = f.read(READ_BYTES)
+        held += got
+        return bool(got)
+
+    while b"\n" not in held and more():
+        pass
+    head, _, held = held.partition(b"\n")
+    count, width = map(int, head.split())
+    tokens, rows = [], []
+    for k in range(count):
+        while (space := held.find(b" ")) < 0 or len(held) < space + 1 + 4 * width:
+            if not more():
+                raise ValueError(f"the file ends within vector {k} of {count}")
+        tokens.append(held[:space].lstrip(b"\n").decode("utf-8", "replace"))
+        v = np.frombuffer(held, "<f4", width, space + 1)
+        rows.append((v / (np.linalg.norm(v) or 1) if normalize else v).astype(np.float32))
+        held = held[space + 1 + 4 * width :]
+        if len(rows) == VECTORS_AT_ONCE or k == count - 1:
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(rows, pa.list_(pa.float32()))], ["token", "vec"])
+            tokens, rows = [], []
+
+
+def write_stored_vectors(df: DataFrame, path: str) -> None:
+    """token, vec -> parts of an array file and a token list each: NAME.npy and NAME.vocab, written by tasks."""
+    write = _put_bytes(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        from pyspark import TaskContext
+
+        for k, batch in enumerate(batches):
+            if batch.num_rows:
+                name, out = f"part-{TaskContext.get().partitionId():05d}-{k:05d}", io.BytesIO()
+                np.save(out, np.array(batch.column(1).to_pylist(), np.float32))
+                write(f"{name}.npy", out.getvalue())
+                write(f"{name}.vocab", "\n".join(batch.column(0).to_pylist()).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    df.select("token", "vec").mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
+
+
+def _put_bytes(path: str):
+    def write(name: str, raw: bytes) -> None:
+        import pyarrow.fs
+
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(at, recursive=True)
+        own = f"{at}/.{name}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(raw)
+        fs.move(own, f"{at}/{name}")
+
+    return write
+
+
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """token, vec of all NAME.npy and NAME.vocab below the path; a part is read by one task."""
+    import io
+
+    both = spark.read.format("binaryFile").option("pathGlobFilter", "*.{npy,vocab}").load(path)
+    parts = both.select(F.regexp_extract("path", r"^(.*)\.(npy|vocab)$", 1).alias("name"), F.endswith("path", F.lit(".npy")).alias("array"), "content").groupBy("name").agg(F.max(F.when(F.col("array"), F.col("content"))).alias("npy"), F.max(F.when(~F.col("array"), F.col("content"))).alias("vocab"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for npy, vocab in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, tokens = np.load(io.BytesIO(npy), allow_pickle=False), vocab.decode().split("\n")
+                for at in range(0, len(tokens), VECTORS_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[at : at + VECTORS_AT_ONCE]), pa.array([*rows[at : at + VECTORS_AT_ONCE]], pa.list_(pa.float32()))], ["token", "vec"])
+
+    return parts.select("npy", "vocab").mapInArrow(run, "token string, vec array<float>")
+
+
+def filled(words: DataFrame, pretrained: DataFrame, width: int, default: float = 0.0) -> DataFrame:
+    """words (token, ...) with the vector of each from a pretrained table, ``default`` throughout where it has none."""
+    return words.join(pretrained.select("token", "vec"), "token", "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(default).cast("float"), width)))
+
+
+def from_stream(spark: SparkSession, handle, path: str, batch: int = 10_000) -> DataFrame:
+    """Lines of an open text stream, as of a pipe -> line; written to the path a batch at a time, never held whole."""
+    from itertools import islice
+
+    while part := [(x.rstrip("\n"),) for x in islice(handle, batch)]:
+        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(path)
+    return lines(spark, path) if exists(spark, path) else spark.createDataFrame([], "line string")
+
+
+def map_files(spark: SparkSession, path: str, row, post=None) -> DataFrame:
+    """file, line: ``row`` (a column -> a column) of each line of every file below the path, null lines dropped; ``post``
+    (a DataFrame -> a DataFrame) then works on each file's lines by the column ``file``."""
+    out = spark.read.text(path).select(F.input_file_name().alias("file"), row(F.col("value")).alias("line")).where("line IS NOT NULL")
+    return post(out) if post else out
 
 
 def conll(text: Column | str) -> Column:
