@@ -68,17 +68,22 @@ def strict(index: DataFrame, query: str, fields: Sequence[str], positioned: Sequ
 
 
 def bm25(index: DataFrame, query: str, fields: Sequence[str], limit: int | None = 5) -> DataFrame:
-    """id, score: for each field and term, idf = ln(N / (n + 1)) + 1 times the saturated frequency, added up."""
+    """id, score: for each field and term, idf = ln(N / (n + 1)) + 1 times the saturated frequency, added up.
+
+    Lengths and frequencies come from one aggregation by record and field, which the fields' totals read too.
+    """
     terms = sorted({t for k in T.parse_query(query) for t in terms_of(k)})
-    mine = index.where(F.col("field").isin(*fields))
-    lengths = mine.groupBy("id", "field").agg(F.count("*").alias("len"))
-    means = lengths.groupBy("field").agg(F.avg("len").alias("mean"), F.count("*").alias("docs"))  # a row a field
-    tf = mine.where(F.col("term").isin(*terms)).groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("n"))  # a row a field and query term
-    both = tf.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(means), "field").join(lengths, ["id", "field"])
-    idf = F.ln(F.col("docs") / (F.col("n") + 1)) + 1
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = both.groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"))
+    tf = [f"tf{i}" for i in range(len(terms))]
+    counted = index.where(F.col("field").isin(*fields)).groupBy("id", "field").agg(F.count("*").alias("len"), *[F.count_if(F.col("term") == t).alias(c) for t, c in zip(terms, tf, strict=True)])
+    totals = counted.groupBy("field").agg(F.avg("len").alias("mean"), F.count("*").alias("docs"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in tf])  # a row a field
+    some = reduce(lambda x, c: x | (F.col(c) > 0), tf, F.lit(False))
+    both = counted.where(some).join(F.broadcast(totals), "field")
+
+    def weight(c: str) -> Column:
+        idf = F.ln(F.col("docs") / (F.col(f"n_{c}") + 1)) + 1
+        return F.when(F.col(c) > 0, idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0)
+
+    scored = both.groupBy("id").agg(F.round(F.sum(reduce(lambda x, c: x + weight(c), tf, F.lit(0.0))), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(limit) if limit else scored
 
 

@@ -20,7 +20,8 @@ kw AS (SELECT token FROM toks WHERE length(token) >= 4 GROUP BY token HAVING cou
 
 
 def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.stand_in(C.sentences(spread(documents(spark, sf_dir))))
+    """Stored, as contexts, paths and roles each read it several times."""
+    return stored(D.stand_in(C.sentences(spread(documents(spark, sf_dir)))), "parse")
 
 
 def _keywords(parse: DataFrame, most: int | None = CEILING) -> DataFrame:
