@@ -35,9 +35,11 @@ from lexloom.llm.common import as_text, slices
 RANKS = "byte_bpe_50k.tiktoken"
 #: Chunks whose ids a worker keeps (those met lately, and as many of before), the longest in characters, pairs of tokens
 #: whose test it keeps.
-KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 100_000, 48, 100_000
+KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 150_000, 48, 100_000
 #: Longest strings that are encoded many at once, how many; characters that are cut into chunks at once.
-SHORT, AT_ONCE, SEGMENT = 40, 8192, 1_000_000
+SHORT, AT_ONCE, SEGMENT = 32, 16_384, 4_000_000
+#: Texts that are encoded at once: the more, the fewer their unknown chunks and the longer the arrays.
+TEXTS = 1024
 #: Bases of the two polynomial hashes, and the bits of the token table.
 _BASES, _TABLE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 18
 
@@ -267,7 +269,7 @@ class Encoder:
 
     A space before anything but white space always opens a match, so a text's ids are those of the chunks that begin
     there, one behind the other. Chunks are told apart and their ids put together in arrays; those that aren't known yet
-    are cut by the pattern and their pieces encoded many at once. Texts in which a space stands elsewhere are cut whole.
+    are cut by the pattern (letters alone are one piece) and their pieces encoded many at once. Texts in which a space stands elsewhere are cut whole.
     """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
@@ -331,7 +333,7 @@ class Encoder:
                     table[x] = before[x]
                 else:
                     asked.append(x)
-        table.update(zip(asked, self._pieces([self._find(" " + x) for x in asked]), strict=True))
+        table.update(zip(asked, self._pieces([[" " + x] if x.isalpha() else self._find(" " + x) for x in asked]), strict=True))
         # a head has no space before it, so each is an entry of its own behind the chunks
         which[place[:-1]] = len(chunks) + np.arange(len(heads))
         known = [*map(table.__getitem__, chunks), *self._pieces([self._find(x) for x in heads])]
@@ -379,7 +381,7 @@ def encode_column(docs: DataFrame, path: str | None = None, column: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             ids = own.encode_all(as_text(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -392,7 +394,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             count, ids, decoded = [], [], []
             for packed in own.encode_all(as_text(batch.column(1))):
                 count.append(len(packed) // 4)
