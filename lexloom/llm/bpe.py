@@ -35,7 +35,7 @@ from lexloom.llm.common import as_text, slices
 RANKS = "byte_bpe_50k.tiktoken"
 #: Chunks whose ids a worker keeps (those met lately, and as many of before), the longest in characters, pairs of tokens
 #: whose test it keeps.
-KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 150_000, 48, 100_000
+KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 80_000, 48, 50_000
 #: Longest strings that are encoded many at once, how many; characters that are cut into chunks at once.
 SHORT, AT_ONCE, SEGMENT = 32, 16_384, 4_000_000
 #: Texts that are encoded at once: the more, the fewer their unknown chunks and the longer the arrays.
