@@ -280,6 +280,11 @@ class Encoder:
         self._chunks: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the tables of chunks and pairs; the vocabulary stays."""
+        self._chunks, self._before = {}, {}
+        self.vocabulary._stands.clear()
+
     def _pieces(self, lists: list[list[str]]) -> list[bytes]:
         """Packed ids of each list of matches."""
         rank, ids, short = self.vocabulary.rank, {}, []
@@ -371,7 +376,8 @@ def _segments(text: str) -> Iterator[str]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker, as its tables serve all tasks."""
+    """One for each worker, as its vocabulary serves all tasks; what a task has learnt of chunks goes with it, as other
+    stages may need the memory."""
     return Encoder(path)
 
 
@@ -384,6 +390,7 @@ def encode_column(docs: DataFrame, path: str | None = None, column: str = "text"
         for batch in slices(batches, TEXTS):
             ids = own.encode_all(as_text(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+        own.forget()
 
     return docs.select("doc_id", column).mapInArrow(run, docs.select("doc_id").schema.add("ids", "binary").add("decoded", "binary"))
 
@@ -401,5 +408,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
