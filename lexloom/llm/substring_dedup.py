@@ -7,9 +7,9 @@ place in the same one, has the digest. Documents are ordered by doc_id (null las
 Neighbouring duplicate units merge into spans, and spans of MIN_WORDS words or more are reported and removed; the
 first occurrence stays. A repeated passage of 51 words loses a part of a chunk at either end, hence the lower bound.
 
-A digest has 128 bits. Its first place is a partial aggregation, and duplicates are found by an equi-join with it, in
-which digests that hold much of all places are broadcast, so that no task gathers the places of a digest. What is
-gathered is bounded by one document.
+A digest has 128 bits. The places of a digest are sorted, and all but the first are duplicates: places are shuffled
+once, and a task streams through its digests. Digests that hold much of all places don't gather in a task: their first
+places are a partial aggregation, which is broadcast. What is gathered is bounded by one document.
 
 Null and empty texts have no units. Very long texts are like others. Whole copies are one span. Rows with one doc_id are
 documents of their own. Only doc_id and text are read, so that other columns may have any names. An empty table gives an
@@ -23,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, fresh, join_skewed, materialize, numbered, slices
+from lexloom.llm.common import as_bytes, fresh, heavy, materialize, numbered, slices
 
 CHUNK, LONGEST, WIDTH, MIN_WORDS = 32, 512, 2, 15
 _GEAR = np.random.default_rng(1234).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+_LAST = (1 << 63) - 1
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -121,9 +122,19 @@ def spans(docs: DataFrame, least: int = MIN_WORDS, rid: str | None = None) -> Da
     """
     rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = materialize(rows.mapInArrow(_cut_all, "rid long, doc_id long, edges array<int>, words array<int>, d1 array<long>, d2 array<long>"), "chunks")
-    places = cut.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "rid", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("doc", "rid", "at", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"))
-    firsts = materialize(places.groupBy("d1", "d2").agg(F.min(F.struct("doc", "rid", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "f"), "firsts")
-    hits = join_skewed(places, firsts, "d1", "d2").where("rid <> f.rid or at <> f.at").select("rid", F.struct("at", F.nullif(F.col("f.doc"), F.lit((1 << 63) - 1)).alias("first")).alias("hit"))
+    places = cut.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "rid", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("doc", "rid", "at", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"))
+    hit = lambda: F.struct("at", F.nullif(F.col("f.doc"), F.lit(_LAST)).alias("first")).alias("hit")
+    hot = heavy(places, "d1")
+    is_hot = F.col("d1").isin(hot) if hot else F.lit(False)
+    # places are shuffled once: the first of a digest goes before the others of its group
+    group = Window.partitionBy("d1", "d2").orderBy("doc", "rid", "at").rowsBetween(Window.unboundedPreceding, 0)
+    hits = places.where(~is_hot).select("rid", "at", F.first(F.struct("doc", "rid", "at")).over(group).alias("f")).where("rid <> f.rid or at <> f.at").select("rid", hit())
+    if hot:
+        crowd = places.where(is_hot)
+        firsts = crowd.groupBy("d1", "d2").agg(F.min(F.struct("doc", "rid", "at")).alias("f"))
+        hits = hits.unionByName(crowd.join(F.broadcast(firsts), ["d1", "d2"]).where("rid <> f.rid or at <> f.at").select("rid", hit()))
+    # written, so that the places that were shuffled go before documents are
+    hits = materialize(hits, "hits")
     # no more than the units of one document
     by_doc = hits.groupBy("rid").agg(F.collect_list("hit").alias("hits"))
     return cut.select("rid", "doc_id", "edges", "words").join(by_doc, "rid").mapInArrow(_merge(WIDTH, least), "rid long, doc_id long, start int, end int, n_words int, first_docs array<long>")

@@ -114,3 +114,23 @@ def test_a_unit_that_many_places_share(spark):
     docs = [(i, words(rng, 5) + " " + passage + " " + words(rng, 5)) for i in range(1500)]
     found = sd.report(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in found} == set(range(1, 1500))
+
+
+def test_places_are_shuffled_once(spark, planted, monkeypatch):
+    """A place is a digest of 16 bytes and some, of which a corpus has one every 32 bytes: two shuffles of them are over the limit of disk."""
+    import re
+
+    plans, write = [], sd.materialize
+
+    def spy(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(sd, "materialize", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.append(sd.report(planted[0])._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(len(re.findall(r"Exchange hashpartitioning\(d1", p)) for p in plans) == 1
