@@ -36,3 +36,20 @@ def test_components_of_a_hub_and_a_chain(spark, native):
 
 def test_no_links(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shuffle_files_go_as_a_table_is_written(spark):
+    """They were there all through the next step, as one collection of garbage doesn't free them: too much disk in line dedup and the pipeline."""
+    import glob
+    import os
+
+    at = os.path.dirname(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+
+    def files() -> set[str]:
+        return set(glob.glob(f"{at}/**/shuffle_*.data", recursive=True))
+
+    before, was = files(), spark.conf.get(common.CLEANUP, None)
+    out = common.materialize(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count(), "counts")
+    assert not files() - before
+    assert spark.conf.get(common.CLEANUP, None) == was
+    assert out.count() == 5000 and out.agg(F.sum("count")).first()[0] == 20_000
