@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import as_bytes, fresh, materialize, numbered, slices
+from lexloom.llm.common import as_bytes, discard, fresh, materialize, numbered, slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Bytes of texts that a scan task keeps to refer to; texts in a bucket; buckets, about; bits of the first histogram, and
@@ -213,5 +213,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row keeps; its columns stay as they are."""
     keyed, rid = numbered(docs, "docs")
     (mine,) = fresh(keyed, "_kept")
-    keep = groups(build_index(keyed, rid=rid)).where("rid = keep_rid").select(F.col("rid").alias(mine))
+    index = build_index(keyed, rid=rid)
+    # written, so that the log, which has all texts, goes before the documents move
+    keep = materialize(groups(index).where("rid = keep_rid").select(F.col("rid").alias(mine)), "kept")
+    discard(index.log)
+    discard(index.buckets)
     return keyed.join(keep, F.col(rid) == F.col(mine), "left_semi").select(*docs.columns)

@@ -83,3 +83,21 @@ def test_directory_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BUCKETS", 8)
     texts = spark.range(4000).select(F.xxhash64("id").alias("key"))
     assert len(exact_dedup.build_directory(texts, 1).buckets) <= 32
+
+
+def test_texts_of_the_index_go_before_documents_move(odd, monkeypatch):
+    """The log has all texts: with the documents and their shuffle it was over the pipeline's limit of disk."""
+    import os
+
+    written, write = {}, exact_dedup.materialize
+
+    def spy(df, what):
+        out = write(df, what)
+        written[what] = out._lexloom_path.removeprefix("file://")
+        return out
+
+    monkeypatch.setattr(exact_dedup, "materialize", spy)
+    out = exact_dedup.dedup(odd)
+    assert not os.path.exists(written["log"]) and not os.path.exists(written["buckets"])
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted((str(r["doc_id"]), r["text"] or "") for r in exact_dedup.dedup(odd).collect())
+    assert out.count() == exact_dedup.report(odd).where("kept").count()
