@@ -217,10 +217,9 @@ def agg25_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT qid, count(CASE WHEN round(score, 6) > round(g, 6) THEN 1 END) + 1 AS rank, round(1 / (count(CASE WHEN round(score, 6) > round(g, 6) THEN 1 END) + 1), 6) AS reciprocal FROM left_ JOIN g USING (qid) GROUP BY qid""")
 def agg23_filtered_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also AGG29 and WIN7: the place of the next vector, where others of the query's label don't count."""
-    v = _vectors(spark, sf_dir).select("id", "label")
-    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
-    got = V.filtered_rank(_scored(spark, sf_dir), q.select("qid", (F.col("qid") + 1).alias("id")), q.join(v, "label").select("qid", "id"))
-    return got.select("qid", "rank", rounded("reciprocal"))
+    v = _vectors(spark, sf_dir)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "label", "vec", (F.col("id") + 1).alias("gold"))
+    return V.gold_ranks(v, q).select("qid", "rank", rounded("reciprocal"))
 
 
 _KNN = _S + ", r AS (SELECT qid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rn FROM s WHERE qid <> id), d AS (SELECT qid, avg(1 - score) AS d FROM r WHERE rn <= 5 GROUP BY qid)"
