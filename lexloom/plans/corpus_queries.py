@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import corpus as C
 from lexloom.operators import phrases as P
+from lexloom.operators.cooccurrence import Numbered
 from lexloom.plans.base import CEILING, GRAPH, LONG_TOKENS, OCCURRENCES, SENTENCES, TOKENS, documents, every_word, literal, query, rounded, spread, table, values
 from lexloom.sources.files import stored
 
 
 def _toks(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    return C.tokens(C.sentences(spread(documents(spark, sf_dir))), least)
+    return C.document_tokens(spread(documents(spark, sf_dir)), least)
 
 
 def _occ(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _toks(spark, sf_dir, 4)
-    return C.occurrences(toks, C.dictionary(toks))
+    docs = spread(documents(spark, sf_dir))
+    return C.occurrences(C.document_tokens(docs, 4), C.document_dictionary(docs, least=4))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> Numbered:
+    docs = spread(documents(spark, sf_dir))
+    return Numbered(docs, C.document_dictionary(docs, least=4), 4)
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # nodes, edges and totals read the sets
-    return C.pair_graph(stored(C.sentence_sets(_occ(spark, sf_dir)), "sets"))[0]
+def _graph(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    return _numbered(spark, sf_dir).graph(least)
 
 
-def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _strong(spark: SparkSession, sf_dir: str, words: Numbered | None = None) -> DataFrame:
     """Strong edges, which most queries read several times."""
-    return stored(C.subgraph(_graph(spark, sf_dir)).select("u", "v", "c", "npmi"), "strong")
+    words = words or _numbered(spark, sf_dir)
+    return stored(C.subgraph(words.graph(3, 0.3)), "strong")
 
 
 _STRONG = GRAPH + ", strong AS (SELECT * FROM graph WHERE npmi > 0.3 AND c >= 3)"
@@ -37,7 +43,7 @@ _STRONG = GRAPH + ", strong AS (SELECT * FROM graph WHERE npmi > 0.3 AND c >= 3)
 @query(f"WITH {GRAPH} SELECT u, v, c, round(npmi, 6) AS npmi FROM graph WHERE npmi > 0.3 AND c >= 3 ORDER BY round(npmi, 6) DESC, c DESC, u, v LIMIT 20")
 def related_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the strongest pairs of the corpus."""
-    return C.subgraph(_graph(spark, sf_dir)).select("u", "v", "c", rounded("npmi")).orderBy(F.desc("npmi"), F.desc("c"), "u", "v").limit(20)
+    return C.subgraph(_numbered(spark, sf_dir).graph(3, 0.3)).select("u", "v", "c", rounded("npmi")).orderBy(F.desc("npmi"), F.desc("c"), "u", "v").limit(20)
 
 
 # joins
@@ -104,7 +110,8 @@ def join5_reform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STRONG} SELECT a.sent_id, a.kw AS u, b.kw AS v FROM occ a JOIN occ b ON a.sent_id = b.sent_id AND a.kw < b.kw SEMI JOIN strong ON u = a.kw AND v = b.kw")
 def join6_pairs_in_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pairs(C.sentence_sets(_occ(spark, sf_dir))).join(_strong(spark, sf_dir), ["u", "v"], "left_semi").select("sent_id", "u", "v")
+    words = _numbered(spark, sf_dir)
+    return words.tied(_strong(spark, sf_dir, words))
 
 
 _NEAR = _STRONG + ", near AS (SELECT u AS src, v AS dst, c, npmi FROM strong UNION ALL SELECT v, u, c, npmi FROM strong)"
@@ -128,8 +135,8 @@ SELECT x.sent_id, u AS a, v AS b, abs(x.pos - y.pos)::INTEGER AS distance FROM s
 SEMI JOIN size ON size.sent_id = x.sent_id WHERE abs(x.pos - y.pos) <= 6""")
 def join9_shared_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short sentences that hold both ends of a strong pair, each once and near each other."""
-    edges = _strong(spark, sf_dir)
-    return C.shared_sentences(_toks(spark, sf_dir, 4), edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    words = _numbered(spark, sf_dir)
+    return words.shared_sentences(_strong(spark, sf_dir, words))
 
 
 _CTX = f"""{TOKENS}, key AS (SELECT token FROM toks GROUP BY token HAVING count(*) BETWEEN 20 AND 60 AND length(token) >= 4),
@@ -245,7 +252,7 @@ def agg10_npmi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRAPH} SELECT u AS w0, v AS w1, c AS freq FROM graph WHERE c >= 2")
 def agg11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pairs(C.sentence_sets(_occ(spark, sf_dir))).groupBy(F.col("u").alias("w0"), F.col("v").alias("w1")).agg(F.count("*").alias("freq")).where("freq >= 2")
+    return _graph(spark, sf_dir, 2).select(F.col("u").alias("w0"), F.col("v").alias("w1"), F.col("c").alias("freq"))
 
 
 @query(f"""WITH {_SKIP}, t AS (SELECT word, regexp_replace(context, '^[^_]*_', '') AS target FROM skip), p AS (SELECT least(word, target) AS w0, greatest(word, target) AS w1 FROM t WHERE word <> target AND target IN (SELECT token FROM v))
@@ -289,7 +296,8 @@ def agg20_test_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 both_ AS (SELECT sent_id, u AS kw, v AS o FROM tied UNION ALL SELECT sent_id, v, u FROM tied)
 SELECT sent_id, kw, array_to_string(list(DISTINCT o ORDER BY o), ',') AS related FROM both_ GROUP BY 1, 2 HAVING count(DISTINCT o) >= 2""")
 def agg21_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.hubs(_strong(spark, sf_dir), C.sentence_sets(_occ(spark, sf_dir)))
+    words = _numbered(spark, sf_dir)
+    return words.hubs(_strong(spark, sf_dir, words))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(avg((value > 10)::INTEGER)::DOUBLE, 6) AS positive, round(avg((value <= 10)::INTEGER)::DOUBLE, 6) AS negative FROM events GROUP BY 1")
@@ -344,18 +352,15 @@ def flt3_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRAPH} SELECT u, v, c, round(npmi, 6) AS npmi FROM graph WHERE c >= 5 AND round(npmi, 2) >= 0.15")
 def flt4_pair_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As the service does: on the score that its table holds, two decimals."""
-    edges = _graph(spark, sf_dir).withColumn("full", F.col("npmi")).withColumn("npmi", F.round("npmi", 2))
+    edges = _numbered(spark, sf_dir).graph(5, 0.14).withColumn("full", F.col("npmi")).withColumn("npmi", F.round("npmi", 2))
     return C.pair_filter(edges, 5, 0.15).select("u", "v", "c", rounded("full", "npmi"))
 
 
 @query(f"WITH {_STRONG}, size AS (SELECT sent_id FROM toks GROUP BY 1 HAVING max(pos) + 1 <= 32) SELECT sent_id, array_to_string(list(kw ORDER BY kw), ' ') AS kws FROM occ SEMI JOIN size USING (sent_id) SEMI JOIN (SELECT u AS kw FROM strong UNION SELECT v FROM strong) s USING (kw) GROUP BY sent_id")
 def flt5_short_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph keywords of sentences of at most 32 words."""
-    toks = _toks(spark, sf_dir, 4)
-    short = toks.groupBy("sent_id").agg(F.max("pos").alias("m")).where("m <= 31")
-    linked = C.neighbours(_strong(spark, sf_dir)).select(F.col("src").alias("kw")).distinct()
-    kept = C.occurrences(toks, C.dictionary(toks)).join(short, "sent_id", "left_semi").join(linked, "kw", "left_semi")
-    return C.sentence_sets(kept).select("sent_id", F.array_join("kws", " ").alias("kws"))
+    words = _numbered(spark, sf_dir)
+    return words.linked(_strong(spark, sf_dir, words), 32).select("sent_id", F.array_join("kws", " ").alias("kws"))
 
 
 @query(f"""WITH {_phrase_sql(4)}, b AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: t <> '')) AS token FROM benchmark),

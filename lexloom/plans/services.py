@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import clustering, corpus, search, vectors
+from lexloom.operators.cooccurrence import Numbered
 from lexloom.operators.graph import expand
 from lexloom.sources.files import stored
 
@@ -86,12 +87,12 @@ def keyword_tree(vecs: DataFrame, centre: int, related: float, together: float,
 
 
 def prepare(docs: DataFrame, least_docs: int = 5, score: float = 0.3, least: int = 3) -> dict[str, DataFrame]:
-    """The corpus pipeline: sentences, tokens, dictionary, occurrences, pair graph, strong edges. What later steps read
-    more than once is stored."""
+    """The corpus pipeline: sentences, tokens, dictionary, occurrences, pair graph, strong edges; ``pairs`` are the edges
+    by their words' numbers. What later steps read more than once is stored."""
     sents = corpus.sentences(docs)
-    toks = corpus.tokens(sents, 4)
-    words = corpus.dictionary(toks, least_docs)
-    occ = stored(corpus.occurrences(toks, words), "occurrences")
-    edges, nodes = corpus.pair_graph(stored(corpus.sentence_sets(occ), "sets"))
-    edges = stored(edges, "edges")
-    return {"sentences": sents, "tokens": toks, "dictionary": words, "occurrences": occ, "edges": edges, "nodes": nodes, "strong": corpus.subgraph(edges, score, least)}
+    toks = corpus.document_tokens(docs, 4)
+    words = stored(corpus.document_dictionary(docs, least_docs, 4), "dictionary")
+    numbered = Numbered(docs, words, 4)
+    occ, nodes = numbered.named(numbered.occurrences()), numbered.named(numbered.nodes())
+    strong = stored(corpus.subgraph(numbered.graph(least, score), score, least), "strong")
+    return {"sentences": sents, "tokens": toks, "dictionary": words, "occurrences": occ, "edges": numbered.graph(), "pairs": numbered.counts(), "nodes": nodes, "strong": strong}
