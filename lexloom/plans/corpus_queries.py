@@ -170,14 +170,20 @@ _SKIP = TOKENS + """, v AS (SELECT token FROM toks GROUP BY token HAVING count(*
 skip AS (SELECT a.token AS word, 'l' || (b.pos - a.pos) || '_' || b.token AS context FROM known a JOIN known b ON a.sent_id = b.sent_id AND b.pos <> a.pos AND abs(b.pos - a.pos) <= 2)"""
 
 
+def _vocabulary(spark: SparkSession, sf_dir: str) -> Numbered:
+    """Sentences by the numbers of words that occur 20 times."""
+    docs = spread(documents(spark, sf_dir))
+    return Numbered(docs, C.document_counts(docs, 20))
+
+
 def _skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _toks(spark, sf_dir)
-    return C.skipgrams(toks, C.token_counts(toks, 20))
+    """word, context, n."""
+    return _vocabulary(spark, sf_dir).skipgrams()
 
 
 @query(f"WITH {_SKIP} SELECT word, context, count(*) AS n FROM skip GROUP BY 1, 2")
 def join12_skipgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _skip(spark, sf_dir).groupBy("word", "context").agg(F.count("*").alias("n"))
+    return _skip(spark, sf_dir)
 
 
 @query(f"""WITH {LONG_TOKENS}, b AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) >= 4)) AS token FROM benchmark)
@@ -213,14 +219,14 @@ def agg3_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SKIP} SELECT 'word' AS kind, word AS token, count(*) AS cn FROM skip GROUP BY 2 HAVING count(*) >= 5 UNION ALL SELECT 'context', context, count(*) FROM skip GROUP BY 2 HAVING count(*) >= 5")
 def agg4_word_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _skip(spark, sf_dir).select(F.explode(F.array(F.struct(F.lit("word").alias("kind"), F.col("word").alias("token")), F.struct(F.lit("context").alias("kind"), F.col("context").alias("token")))).alias("x"))
-    return both.groupBy("x.kind", "x.token").agg(F.count("*").alias("cn")).where("cn >= 5")
+    both = _skip(spark, sf_dir).select(F.explode(F.array(F.struct(F.lit("word").alias("kind"), F.col("word").alias("token")), F.struct(F.lit("context").alias("kind"), F.col("context").alias("token")))).alias("x"), "n")
+    return both.groupBy("x.kind", "x.token").agg(F.sum("n").alias("cn")).where("cn >= 5")
 
 
 @query(f"WITH {_SKIP}, c AS (SELECT context FROM skip GROUP BY 1 HAVING count(*) >= 5) SELECT regexp_extract(context, '^(prep_[^_]*|[^_]*)', 1) AS relation, count(*) AS n FROM c GROUP BY 1")
 def agg5_relation_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts that survive the threshold, by relation."""
-    kept = _skip(spark, sf_dir).groupBy("context").count().where("count >= 5")
+    kept = _skip(spark, sf_dir).groupBy("context").agg(F.sum("n").alias("count")).where("count >= 5")
     return kept.groupBy(T.relation_prefix("context").alias("relation")).agg(F.count("*").alias("n"))
 
 
@@ -259,10 +265,8 @@ def agg11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w0, w1, count(*) AS freq FROM p GROUP BY 1, 2""")
 def agg12_semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs of words and the words of their contexts."""
-    pairs = _skip(spark, sf_dir)
-    words = C.token_counts(_toks(spark, sf_dir), 20).select(F.col("token").alias("target"))
-    found = pairs.select("word", F.regexp_replace("context", "^[^_]*_", "").alias("target")).where("word <> target").join(words, "target", "left_semi")
-    return found.groupBy(F.least("word", "target").alias("w0"), F.greatest("word", "target").alias("w1")).agg(F.count("*").alias("freq"))
+    pairs = _vocabulary(spark, sf_dir).skipgram_pairs()
+    return pairs.select(F.col("u").alias("w0"), F.col("v").alias("w1"), F.col("n").alias("freq"))
 
 
 @every_word
@@ -392,9 +396,9 @@ _ENDS = "SELECT DISTINCT sent_id FROM occ WHERE kw IN (SELECT kw FROM occ GROUP
 @query(f"WITH {OCCURRENCES}, a AS ({_ENDS.format(0)}), b AS ({_ENDS.format(1)}) SELECT 'both' AS kind, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'any', * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'first only', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET1-SET4: sentences of the two commonest keywords, intersected, united and subtracted."""
-    occ = _occ(spark, sf_dir)
-    top = [r["kw"] for r in occ.groupBy("kw").count().orderBy(F.desc("count"), "kw").limit(2).collect()]  # two words
-    a, b = (occ.where(F.col("kw") == k).select("sent_id").distinct() for k in top)
+    words = _numbered(spark, sf_dir)
+    top = [r["id"] for r in words.occurrences().groupBy("id").count().orderBy(F.desc("count"), "id").limit(2).collect()]  # two words
+    a, b = (words.sets.where(F.array_contains("ids", F.lit(k))).select("sent_id") for k in [*top, -1, -1][:2])
     named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "sent_id")
     return named(a.intersect(b), "both").unionByName(named(a.union(b).distinct(), "any")).unionByName(named(a.exceptAll(b), "first only"))
 
